@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, toxicity
+from . import chat, exact_dedup, fingerprints, huffman, line_dedup, mixing, near_dedup, packing, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.table_to_turns(table(spark, sf_dir, "conversations"))
 
 
+def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.huffman(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,12 +40,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op5_chat_formatting, op7_exact_dedup, op8_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op5_chat_formatting, op6_huffman, op7_exact_dedup, op8_packing, op9_near_dedup, op10_line_dedup)}
 
 
 OP3_SQL = r"""

@@ -1,12 +1,13 @@
 """Toxicity: a lexicon trie intersected with Levenshtein automata, scored in context.
 
 The lexicon has whole terms, matched up to an edit distance that grows with their
-length (``edits``; a swap of neighbouring letters is one edit), and stems, matched
-exactly at the start of a word. Terms and stems form one trie; the
-product of the trie with the Levenshtein automata is determinised once on the
-driver to a table of states times character classes. Workers run that table over
-all words of a batch at once with NumPy. Characters are folded first: case, accents,
-digits and signs that stand for letters, and letters repeated more than twice.
+length (``edits``; a swap of neighbouring letters is one edit, and the first letter
+may be replaced or swapped but not left out), and stems, matched exactly at the
+start of a word. Terms and stems form one trie; the product of the trie with the
+Levenshtein automata is determinised once on the driver to a table of states times
+character classes. Workers run that table over all words of a batch at once with
+NumPy. Characters are folded first: case, digits and signs that stand for letters,
+letters repeated more than twice and, for terms but not for stems, accents.
 
 Each hit starts from 1 for an exact match and less for each edit. Its context, a window of
 ``CONTEXT`` characters on either side, multiplies that: a hit between
@@ -57,30 +58,30 @@ OPEN_QUOTE = re.compile(r'["“”„«»]')
 REPORTING = re.compile(r"\b(?:said|says|called|calls|wrote|writes|quoted?|quotes|word|term|insult|slur|meaning|defined?|definition)\b")
 SECOND_PERSON = re.compile(r"\b(?:you|your|yours|you're|u|ur|du|dich|dir|ihr|tu|te|toi|vous|usted|ustedes)\b")
 
-LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "ß": "s"}
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 OTHER = 27
 _TABLE = 0x250
 
 
-def _classes() -> np.ndarray:
-    out = np.zeros(_TABLE, dtype=np.uint8)
+def _classes() -> tuple[np.ndarray, list[int]]:
+    """Class of each code point below _TABLE (0 separates words, 1 to 26 are a to z), and the class of each class's bare letter."""
+    out, bare, seen = np.zeros(_TABLE, dtype=np.uint8), list(range(OTHER + 1)), {}
     for cp in range(_TABLE):
-        ch = chr(cp)
-        ch = LEET.get(ch, unicodedata.normalize("NFKD", ch.lower())[0])
+        ch = LEET.get(chr(cp), chr(cp).lower()[:1])
+        base = unicodedata.normalize("NFKD", ch)[0]
         if "a" <= ch <= "z":
             out[cp] = ord(ch) - 96
+        elif ch.isalnum() and "a" <= base <= "z" and len(bare) < 255:
+            if ch not in seen:
+                seen[ch] = len(bare)
+                bare.append(ord(base) - 96)
+            out[cp] = seen[ch]
         elif ch.isalnum():
             out[cp] = OTHER
-    return out
-
-
-CLASS = _classes()
+    return out, bare
 
 
-def fold(word: str) -> str:
-    """A word as the automaton sees it, '?' for letters outside a to z."""
-    c = classes(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4"))
-    return "".join(chr(96 + x) if 0 < x < OTHER else "?" for x in c if x)
+CLASS, BARE = _classes()
 
 
 def classes(cps: np.ndarray) -> np.ndarray:
@@ -92,8 +93,13 @@ def classes(cps: np.ndarray) -> np.ndarray:
     return out
 
 
-def edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+def fold(word: str) -> list[int]:
+    """The classes of a word's letters."""
+    return [c for c in classes(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")).tolist() if c]
+
+
+def edits(term: str | list[int]) -> int:
+    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
 
 @dataclass
@@ -109,26 +115,27 @@ class Automaton:
 
 def build(terms: tuple[str, ...] = TERMS, stems: tuple[str, ...] = ()) -> Automaton:
     names = [fold(t) for t in terms] + [fold(s) for s in stems]
-    kids: list[dict[int, int]] = [{}]
-    end_term: list[int] = [0]
-    end_stem: list[int] = [0]
-    fuzzy: list[int] = [0]  # most edits of any term below
+    # node 0 is the root of the terms, node 1 that of the stems
+    kids: list[dict[int, int]] = [{}, {}]
+    end_term, end_stem = [0, 0], [0, 0]
+    fuzzy = [0, 0]  # most edits of any term below
+    exact = [False, True]
     for i, name in enumerate(names):
-        allowed = edits(name) if i < len(terms) else 0
-        at = 0
-        fuzzy[0] = max(fuzzy[0], allowed)
-        for ch in name:
-            c = ord(ch) - 96 if ch != "?" else OTHER
+        of_stem = i >= len(terms)
+        allowed = 0 if of_stem else edits(name)
+        at = int(of_stem)
+        fuzzy[at] = max(fuzzy[at], allowed)
+        for c in name if of_stem else [BARE[c] for c in name]:
             if c not in kids[at]:
                 kids[at][c] = len(kids)
-                for x, v in ((kids, {}), (end_term, 0), (end_stem, 0), (fuzzy, 0)):
+                for x, v in ((kids, {}), (end_term, 0), (end_stem, 0), (fuzzy, 0), (exact, of_stem)):
                     x.append(v)
             at = kids[at][c]
             fuzzy[at] = max(fuzzy[at], allowed)
-        if i < len(terms):
-            end_term[at] = i + 1
-        else:
+        if of_stem:
             end_stem[at] = i + 1
+        else:
+            end_term[at] = i + 1
     limit = {i + 1: (edits(n) if i < len(terms) else 0) for i, n in enumerate(names)}
 
     def close(items: dict[tuple, int]) -> frozenset:
@@ -136,7 +143,7 @@ def build(terms: tuple[str, ...] = TERMS, stems: tuple[str, ...] = ()) -> Automa
         todo = list(items.items())
         while todo:
             (node, pending), e = todo.pop()
-            if pending or items[(node, pending)] < e:
+            if pending or node == 0 or items[(node, pending)] < e:  # a first letter isn't left out
                 continue
             for k in kids[node].values():
                 if e + 1 <= fuzzy[k] and items.get((k, 0), 9) > e + 1:
@@ -144,32 +151,37 @@ def build(terms: tuple[str, ...] = TERMS, stems: tuple[str, ...] = ()) -> Automa
                     todo.append(((k, 0), e + 1))
         return frozenset((n, p, e) for (n, p), e in items.items())
 
-    start = close({(0, 0): 0})
+    start = close({(0, 0): 0, (1, 0): 0})
     index: dict[frozenset, int] = {frozenset(): 0, start: 1}
-    queue, rows = [start], [np.zeros(OTHER + 1, np.int32)]
+    queue, rows = [start], [np.zeros(len(BARE), np.int32)]
     while queue:
         state = queue.pop(0)
-        row = np.zeros(OTHER + 1, np.int32)
-        for c in range(1, OTHER + 1):
+        row = np.zeros(len(BARE), np.int32)
+        for c in range(1, len(BARE)):
             nxt: dict[tuple, int] = {}
 
             def put(node: int, pending: int, e: int, nxt=nxt) -> None:
                 if e <= fuzzy[node] and nxt.get((node, pending), 9) > e:
                     nxt[(node, pending)] = e
 
+            b = BARE[c]
             for node, pending, e in state:
+                if exact[node]:
+                    if c in kids[node]:
+                        put(kids[node][c], 0, 0)
+                    continue
                 if pending:  # the second letter of a swap: node is where the swapped pair leads
-                    if pending == c:
+                    if pending == b:
                         put(node, 0, e)
                     continue
                 put(node, 0, e + 1)  # an inserted letter
                 for k, child in kids[node].items():
-                    if k == c:
+                    if k == b:
                         put(child, 0, e)
                     else:
                         put(child, 0, e + 1)
-                        if c in kids[child]:
-                            put(kids[child][c], k, e + 1)
+                        if b in kids[child]:
+                            put(kids[child][b], k, e + 1)
             new = close(nxt)
             if new not in index:
                 index[new] = len(index)
