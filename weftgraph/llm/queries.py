@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprints, huffman, line_dedup, mixing, near_dedup, packing, toxicity
+from . import chat, exact_dedup, fingerprints, huffman, line_dedup, lm_scoring, mixing, near_dedup, packing, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copies")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.table_to_turns(table(spark, sf_dir, "conversations"))
 
@@ -49,7 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op5_chat_formatting, op6_huffman, op7_exact_dedup, op8_packing, op9_near_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op4_lm_scoring, op5_chat_formatting, op6_huffman, op7_exact_dedup, op8_packing, op9_near_dedup, op10_line_dedup)}
 
 
 OP3_SQL = r"""
