@@ -52,3 +52,16 @@ def word_count(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def own_prefix(columns: list[str]) -> str:
+    """A prefix that no column of the input begins with, for an operator's own columns."""
+    prefix = "weft_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def quoted(name: str) -> Column:
+    """The top-level column of exactly this name, whatever dots it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")

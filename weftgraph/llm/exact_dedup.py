@@ -16,7 +16,7 @@ Cases: a null text equals nothing and is kept; an empty or blank text equals oth
 blank texts; within a group the smallest ``doc_id`` stays (null ids last), and of
 rows that repeat the smallest id one stays; an empty table gives an empty result.
 Columns of the input that the operator doesn't know pass through
-:func:`drop_exact_duplicates` unchanged; names are not reserved, since the
+:func:`drop_exact_duplicates` unchanged; no names are reserved, since the
 operator's own columns carry a prefix that is extended until it is free.
 """
 
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .common import own_prefix
+
 #: Characters of the normalised text's ends that splitters are made of.
 HEAD, TAIL = 256, 64
 BLANKS = r"[ \t\n\r\f\x0B]+"
@@ -36,18 +38,11 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
-def _free(name: str, taken: list[str]) -> str:
-    taken = [c.lower() for c in taken]
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def _sorted_runs(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, tuple[str, str, str], WindowSpec]:
     norm = normalised(F.col(text_col))
-    ends = {"weft_head": F.substring(norm, 1, HEAD), "weft_tail": F.substring(norm, -TAIL, TAIL)}
-    ends = {_free(k, docs.columns): v for k, v in ends.items()}
-    key = _free("weft_key", docs.columns)
+    own = own_prefix(docs.columns)
+    ends = {f"{own}head": F.substring(norm, 1, HEAD), f"{own}tail": F.substring(norm, -TAIL, TAIL)}
+    key = f"{own}key"
     # The aliases below are the partitioning expressions themselves: Spark recognises that
     # the range partitioning already clusters by them and adds no second exchange.
     runs = docs.repartitionByRange(*ends.values()).withColumns(ends | {key: norm})
@@ -69,5 +64,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that :func:`exact_duplicates` marks, columns unchanged."""
     runs, made, order = _sorted_runs(docs, id_col, text_col)
-    rank = _free("weft_rank", docs.columns)
+    rank = own_prefix(docs.columns) + "rank"
     return runs.withColumn(rank, F.row_number().over(order)).where(F.col(made[-1]).isNull() | (F.col(rank) == 1)).drop(*made, rank)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import own_prefix, quoted, word_count
 
 #: Bands of the key order within a source.
 BUCKETS = 4096
@@ -112,10 +112,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     each are emitted; ``options`` as for :func:`mix_sources`.
     """
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    own = own_prefix(docs.columns)
     chosen = mix_sources(docs, **options).groupBy("doc_id", "source", "tag").agg(F.max("copies").alias("copies"))
-    chosen = chosen.select(*(F.col(c).alias(f"weft_mix_{c}") for c in chosen.columns))
-    same = docs[id_col].eqNullSafe(chosen["weft_mix_doc_id"]) & docs[source_col].eqNullSafe(chosen["weft_mix_source"])
-    same &= F.xxhash64(docs[text_col]) == chosen["weft_mix_tag"]
-    joined = docs.join(chosen, same)
-    names = docs.columns
-    return joined.select(*(docs[c] for c in names), F.explode(F.sequence(F.lit(1), F.col("weft_mix_copies").cast("int"))).alias("weft_mix_n")).drop("weft_mix_n")
+    chosen = chosen.select(*(F.col(c).alias(own + c) for c in chosen.columns))
+    same = F.col(id_col).eqNullSafe(F.col(f"{own}doc_id")) & F.col(source_col).eqNullSafe(F.col(f"{own}source"))
+    same &= F.xxhash64(F.col(text_col)) == F.col(f"{own}tag")
+    copies = F.explode(F.sequence(F.lit(1), F.col(f"{own}copies").cast("int")))
+    return docs.join(chosen, same).select(*(quoted(c) for c in docs.columns), copies.alias(f"{own}copy")).drop(f"{own}copy")

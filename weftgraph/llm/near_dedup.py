@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, own_prefix, quoted
 from .textvec import chunks, combine, mix64, segment_ids, words
 
 SHINGLE = 3
@@ -282,25 +282,29 @@ def _verdict(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return g.select("doc_id", "tag", F.first("doc_id").over(best).alias("group_id"), (F.row_number().over(best) == 1).alias("stays"))
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with weft_group, weft_stays: of rows that repeat id and text one stays."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, str]:
+    """The columns ``keep`` with id, group_id, stays after a prefix: of rows that repeat id and text one stays."""
+    own = own_prefix(docs.columns)
     # A null id joins as the smallest number, so that join and window share one partitioning.
     none = F.lit(-(2**63))
-    v = _verdict(docs, id_col, text_col).select(F.coalesce("doc_id", none).alias("weft_key"), F.col("tag").alias("weft_text"), F.col("group_id").alias("weft_group_id"), F.col("stays").alias("weft_stays"))
+    keys = [f"{own}key", f"{own}text"]
+    v = _verdict(docs, id_col, text_col)
+    v = v.select(F.coalesce("doc_id", none).alias(keys[0]), F.col("tag").alias(keys[1]), F.col("group_id").alias(f"{own}group_id"), F.col("stays").alias(f"{own}stays"))
     as_id = F.col(id_col).cast("bigint")
-    base = docs.select(*(F.col(f"`{c}`") for c in keep), as_id.alias("weft_id"), F.coalesce(as_id, none).alias("weft_key"), F.xxhash64(text_col).alias("weft_text"))
-    joined = base.join(v, ["weft_key", "weft_text"], "left")
-    again = F.row_number().over(Window.partitionBy("weft_key", "weft_text").orderBy(F.lit(1)))
-    stays = F.col("weft_stays").isNull() | (F.col("weft_stays") & (F.col("weft_again") == 1))
-    return joined.withColumn("weft_again", again).withColumn("weft_keeps", stays)
+    base = docs.select(*(quoted(c) for c in keep), as_id.alias(f"{own}id"), F.coalesce(as_id, none).alias(keys[0]), F.xxhash64(text_col).alias(keys[1]))
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    stays = F.col(f"{own}stays").isNull() | (F.col(f"{own}stays") & (F.col(f"{own}again") == 1))
+    return base.join(v, keys, "left").withColumn(f"{own}again", again).withColumn(f"{own}keeps", stays), own
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id, is_duplicate), one row for each document; group_id is the document that stays."""
-    m = _marked(docs, id_col, text_col, [])
-    return m.select(F.col("weft_id").alias("doc_id"), F.coalesce("weft_group_id", "weft_id").alias("group_id"), (~F.col("weft_keeps")).alias("is_duplicate"))
+    m, own = _marked(docs, id_col, text_col, [])
+    group = F.when(F.col(f"{own}stays").isNull(), F.col(f"{own}id")).otherwise(F.col(f"{own}group_id"))
+    return m.select(F.col(f"{own}id").alias("doc_id"), group.alias("group_id"), (~F.col(f"{own}keeps")).alias("is_duplicate"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that :func:`near_duplicates` marks, columns unchanged."""
-    return _marked(docs, id_col, text_col, docs.columns).where("weft_keeps").select(*(F.col(f"`{c}`") for c in docs.columns))
+    m, own = _marked(docs, id_col, text_col, docs.columns)
+    return m.where(F.col(f"{own}keeps")).select(*(quoted(c) for c in docs.columns))

@@ -359,11 +359,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, stems: tuple[st
     """The documents that :func:`toxicity` doesn't call toxic, columns unchanged."""
     auto = _shared(docs, labels, stems, terms, id_col, text_col)
 
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    column = names[docs.columns.index(text_col)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = auto.value
         for batch in batches:
-            for part, texts in _pieces(batch, text_col):
+            for part, texts in _pieces(batch, column):
                 clean = [round(sum(h[2] for h in x), 4) < THRESHOLD for x in score_texts(a, texts)]
                 yield part.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*names)  # mapInArrow can't take every name that a column may have
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
