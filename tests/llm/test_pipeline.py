@@ -16,7 +16,7 @@ def test_stages_take_effect(spark, tmp_path, syllables):
     rng = random.Random(1)
     rows = [(i, syllables(80, i), "ab"[i % 4 == 0]) for i in range(200)]
     rows += [(1000 + i, rows[i][1].replace(" ", "  "), "a") for i in range(20)]
-    rows += [(2000 + i, " ".join(w if rng.random() > 0.03 else "edited" for w in rows[40 + i][1].split()), "a") for i in range(20)]
+    rows += [(2000 + i, " ".join(w if j and rng.random() > 0.03 else "edited" for j, w in enumerate(rows[40 + i][1].split())), "a") for i in range(20)]
     rows += [(3000 + i, syllables(80, 700 + i) + " you stupid idiot", "b") for i in range(10)]
     d = _write(spark, tmp_path, docs_of(spark, rows))
     docs, seen = spark.read.parquet(f"{d}/documents.parquet"), {}

@@ -76,7 +76,7 @@ def test_lm_odd_cases(spark, odd_docs, no_docs):
 def test_lm_likes_what_it_knows(spark, syllables):
     rows = [(i, syllables(100, i % 40) if i % 3 else syllables(100, i)) for i in range(240)] + [(999, " ".join(f"odd{i}" for i in range(100)))]
     got = {r["doc_id"]: r["perplexity"] for r in rows_of(L.lm_scores(docs_of(spark, rows)))}
-    assert got[999] == max(got.values()) and got[1] < got[3]
+    assert got[999] == max(got.values()) and got[1] < got[42]  # ids that 3 divides have a text of their own from 42 on
 
 
 def test_weights_maximise_likelihood():

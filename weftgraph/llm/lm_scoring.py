@@ -186,7 +186,7 @@ def ratio(a: np.ndarray, b) -> np.ndarray:
     return np.divide(a, b, out=np.zeros(len(a)), where=np.asarray(b) > 0)
 
 
-def learn_weights(cells: np.ndarray, f0: float, rounds: int = 100) -> np.ndarray:
+def learn_weights(cells: np.ndarray, f0: float, rounds: int = 1000) -> np.ndarray:
     """Weights (BUCKETS, 3) of uniform, word and pair estimates by EM.
 
     ``cells`` has rows (bucket, mean word estimate, mean pair estimate, held-out count).
@@ -199,7 +199,7 @@ def learn_weights(cells: np.ndarray, f0: float, rounds: int = 100) -> np.ndarray
             part = p * lam
             part *= (rows[:, 3] / np.maximum(part.sum(axis=1), 1e-300))[:, None]
             new = part.sum(axis=0) / max(part.sum(), 1e-300)
-            if np.abs(new - lam).max() < 1e-7:
+            if np.abs(new - lam).max() < 1e-12:
                 return new
             lam = new
         return lam

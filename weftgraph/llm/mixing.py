@@ -90,7 +90,7 @@ def mix_sources(
         totals = totals.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source").fillna({"target": 0.0})
     everything = Window.partitionBy(F.lit(1))  # one row for each source
     goal = F.lit(budget) if budget is not None else F.sum("src_tokens").over(everything)
-    share = F.col("target") / F.sum("target").over(everything)
+    share = F.try_divide(F.col("target"), F.sum("target").over(everything))  # null where no source has a target
     plan = (
         totals.withColumn("goal", F.floor(F.coalesce(goal * share, F.lit(0.0))).cast("bigint"))
         .where("src_tokens > 0")
