@@ -63,17 +63,15 @@ def isolated_nodes(g: Graph, threshold: int = 1, exclude_types: Sequence[str] =
 
 
 def graph_summary(g: Graph) -> DataFrame:
-    """(section, name, n): totals, and counts by type and confidence, in one scan of either relation."""
+    """(section, name, n): totals, and counts by type and confidence, in one scan of either relation; totals are 0 for an empty graph."""
+    e = g.edges.groupingSets([["type"], ["confidence"]], "type", "confidence").agg(F.count(ONE).alias("n"), F.grouping("type").alias("g"))
+    e = e.select(F.when(F.col("g") == 0, "edge_type").otherwise("confidence").alias("section"), F.when(F.col("g") == 0, F.col("type")).otherwise(F.col("confidence")).alias("name"), "n")
+    n = g.nodes.groupBy("type").agg(F.count(ONE).alias("n")).select(F.lit("node_type").alias("section"), F.col("type").alias("name"), "n")
 
-    def section(df: DataFrame, title: str, column: str) -> DataFrame:
-        return df.groupBy(column).agg(F.count(ONE).alias("n")).select(F.lit(title).alias("section"), F.col(column).alias("name"), "n")
+    def total(counts: DataFrame, section: str, name: str) -> DataFrame:
+        return counts.agg(F.coalesce(F.sum(F.when(F.col("section") == section, F.col("n"))), F.lit(0)).alias("n")).select(F.lit("total").alias("section"), F.lit(name).alias("name"), "n")
 
-    by = F.when(F.grouping("type") == 0, F.lit("edge_type")).when(F.grouping("confidence") == 0, F.lit("confidence")).otherwise("total")
-    e = g.edges.groupingSets([["type"], ["confidence"], []], "type", "confidence").agg(F.count(ONE).alias("n"), by.alias("section"))
-    e = e.select("section", F.coalesce("type", "confidence", F.lit("edges")).alias("name"), "n")
-    n = g.nodes.groupingSets([["type"], []], "type").agg(F.count(ONE).alias("n"), F.grouping("type").alias("g"))
-    n = n.select(F.when(F.col("g") == 0, "node_type").otherwise("total").alias("section"), F.coalesce("type", F.lit("nodes")).alias("name"), "n")
-    return n.unionByName(e)
+    return n.union(total(n, "node_type", "nodes")).union(e).union(total(e, "edge_type", "edges"))
 
 
 def package_stats(g: Graph) -> DataFrame:

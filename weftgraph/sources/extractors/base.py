@@ -18,11 +18,11 @@ class Extraction:
     nodes: list[tuple] = field(default_factory=list)
     edges: list[tuple] = field(default_factory=list)
 
-    def node(self, id_: str, kind: str, label: str, **attrs: str) -> str:
+    def node(self, id_: str, kind: str, label: str, /, **attrs: str) -> str:
         self.nodes.append((id_, kind, label, {k: v for k, v in attrs.items() if v}))
         return id_
 
-    def edge(self, src: str, dst: str, kind: str, confidence: str = "EXTRACTED", score: float = 0.0, **attrs: str) -> None:
+    def edge(self, src: str, dst: str, kind: str, confidence: str = "EXTRACTED", score: float = 0.0, /, **attrs: str) -> None:
         self.edges.append((src, dst, kind, confidence, score, {k: v for k, v in attrs.items() if v}))
 
 
