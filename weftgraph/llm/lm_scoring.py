@@ -44,6 +44,8 @@ from .textvec import chunks, combine, mix64, words
 HELD_OUT = 10
 BUCKETS = 32
 CHUNK = 8_000_000
+#: Bytes of text that are hashed at once, for which a worker needs some fifty times their memory.
+PIECE = 1_000_000
 #: Cells of the held-out histogram for each power of two of a relative frequency.
 CELLS = 4
 EDGE = np.uint64(0xA0761D6478BD642F)  # the start and the end of a text
@@ -71,8 +73,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, task = 0, TaskContext.get().partitionId()
     for batch in batches:
         for part in chunks(batch, "text", CHUNK):
-            h, bounds = words(part.column("text"))
-            sizes = np.diff(bounds)
+            found = [words(x.column("text")) for x in chunks(part, "text", PIECE)]
+            h, sizes = np.concatenate([x for x, _ in found]), np.concatenate([np.diff(b) for _, b in found])
             held = part.column("held").to_numpy(zero_copy_only=False)
             vocab, idx = np.unique(h, return_inverse=True)
             for flag in (False, True):
