@@ -6,7 +6,8 @@ import xml.etree.ElementTree as ET
 import pytest
 from graphs import graph, rows
 
-from weftgraph.sinks import cypher, cytoscape, graphml, report, toon, vault
+from weftgraph.sinks import cypher, cytoscape, graphml, report, site, toon, vault
+from weftgraph.sources import enhance
 from weftgraph.sources.store import GraphStore
 from weftgraph.streaming import watch
 
@@ -90,3 +91,19 @@ def test_streams(spark, tmp_path):
     assert sorted(seen) == [("a", 0, 1), ("b", 2, 1)]
     ev = spark.sql("select * from values ('x', timestamp'2024-01-01 00:00:00'), ('x', timestamp'2024-01-01 00:00:00.3'), ('x', timestamp'2024-01-01 00:00:02') as t(path, ts)")
     assert sorted(r["n"] for r in watch.bursts(ev).collect()) == [1, 2]
+
+
+def test_site_and_bundle(spark, tmp_path):
+    at = {"source_file": "/src/api/a.go"}
+    s = graph(spark, [("system:x", "system", "X"), ("svc:a", "service", "Api"), ("f", "function", "f", at), ("helm:h", "helm_chart", "h")], [("system:x", "svc:a", "contains"), ("svc:a", "repo:h.org/o/api.git", "links_to"), ("helm:h", "svc:a", "deploys")])
+    com = spark.createDataFrame([("f", 0)], "node_id string, community_id int")
+    sources = spark.createDataFrame([(0, "/src/api")], "ordinal int, path string")
+    assert site.write(s, str(tmp_path / "s"), sources, com, infrastructure=False) == ["index.html", "services/api.html", "communities/0.html"]
+    assert '"f"' in (tmp_path / "s/services/api.html").read_text() and "helm" not in (tmp_path / "s/index.html").read_text()
+    assert site.write_bundle(s, str(tmp_path / "b"))[0] == "SUMMARY.md" and gzip.open(tmp_path / "b/graph.toon.gz", "rt").read().startswith("stats:")
+
+
+def test_prompts():
+    asked = enhance.prompts([f"f{i}.go" for i in range(60)], "/src")
+    assert len(asked) == 3 and "Part 3 of 3" in asked[2] and "f59.go" in asked[2] and enhance.chunks([], 5) == []
+    assert enhance.select(["a/b.go", "b.go", "ab.go"], "b.go") == ["a/b.go", "b.go"]

@@ -364,3 +364,15 @@ def chunk_files(spark: SparkSession, d: str) -> DataFrame:
 def topk_per_layer(spark: SparkSession, d: str) -> DataFrame:
     own = A.node_degrees(P.commerce(spark, d)).select("type", "id", "degree")
     return A.topk_per_group(own, "type", 5, F.desc("degree"), "id")
+
+
+@query(
+    """p AS (SELECT page_id, lower(url) AS low, regexp_extract(lower(url), '[^/]*$') AS base FROM pages),
+    f AS (SELECT *, CASE WHEN contains(low, '/') THEN left(low, length(low) - length(base) - 1) ELSE '.' END AS folder FROM p)
+    => SELECT page_id, CASE WHEN base IN ('readme', 'readme.md') THEN 'readme' WHEN base IN ('changelog', 'changelog.md') THEN 'changelog' WHEN base = 'contributing.md' THEN 'contributing'
+      WHEN base IN ('license', 'license.md') THEN 'license' WHEN regexp_matches(folder, 'docs|documentation') THEN 'documentation' WHEN regexp_matches(base, 'spec|rfc') THEN 'specification'
+      WHEN regexp_matches(base, 'design|architecture') THEN 'architecture' WHEN contains(base, 'api') THEN 'api_reference' ELSE 'general' END AS doc_type FROM f""",
+    graph="",
+)
+def doc_type(spark: SparkSession, d: str) -> DataFrame:
+    return P.read(spark, d, "pages").select("page_id", S.classify_doc(F.col("url")).alias("doc_type"))
