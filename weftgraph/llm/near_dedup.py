@@ -117,7 +117,8 @@ def bag_minhash(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
-    bits = sig.view(np.uint64).reshape(len(sig), BANDS, ROWS)
+    # In single precision: the last bits of a time depend on how a batch was cut.
+    bits = sig.astype(np.float32).view(np.uint32).astype(np.uint64).reshape(len(sig), BANDS, ROWS)
     h = np.broadcast_to(mix64(np.arange(BANDS, dtype=np.uint64)), (len(sig), BANDS)).copy()
     for j in range(ROWS):
         h = combine(h, bits[:, :, j])
