@@ -105,6 +105,21 @@ def test_stems_are_learned(spark, syllables):
     assert T.learn_stems(docs, none) == ()
 
 
+def test_stems_of_a_small_language_and_of_frequent_use(spark, syllables):
+    d, lab = [], []
+    for i in range(300):
+        toxic, lang = i % 10 == 0, "de" if i % 5 == 0 else "en"
+        # the commonest word of all texts, which once stood for the whole text; the stem also comes up once in a few clean texts
+        text = "dem " + syllables(60, i) + (f" vurno{'abcdef'[i % 6]} " * 3 if toxic else " vurnost " if i % 35 == 5 else "")
+        d.append((i, text, lang, "s", len(text)))
+        lab.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(d, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame(lab, "doc_id bigint, quality int, toxic int")
+    stems = T.fit_stems(docs, labels)
+    assert stems == {"vurno": 0.5}
+    assert sorted(r["doc_id"] for r in rows_of(T.toxicity(docs, labels)) if r["toxic"]) == list(range(0, 300, 10))
+
+
 @pytest.mark.parametrize("n", [1, 2, 50])
 def test_batches_dont_matter(n, syllables):
     auto = T.build()

@@ -15,10 +15,10 @@ quotation marks or near a reporting word (it is mentioned rather than used) coun
 less, one near a second-person pronoun or another hit counts more. A document is
 toxic if its hits sum to ``THRESHOLD``; long documents get no allowance.
 
-Stems are learned from ``labels`` (:func:`learn_stems`): word beginnings that occur
-in at least ``MIN_SUPPORT`` unlike toxic documents and, up to a small share, in no
-clean one. The fit reads at most ``max_labelled`` labelled rows, a documented bound; the scoring
-covers every document in whole.
+Stems are learned from ``labels`` (:func:`fit_stems`): word beginnings that set the toxic documents of a
+language apart by a likelihood-ratio test, at the least number k of occurrences that few clean documents
+reach; a hit of such a stem weighs 1 / k. Near copies count once. The fit reads at most ``max_labelled``
+labelled rows, a documented bound; the scoring covers every document in whole.
 
 Cases: a null or empty text has no hits and score 0; repeated rows give repeated rows; labels that
 are null, contradict each other (any toxic label counts) or have no document are
@@ -29,8 +29,10 @@ through :func:`drop_toxic`.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
 from .textvec import chunks
 
 TERMS = ("idiot", "moron", "loser", "clown", "scum", "trash", "stupid", "pathetic", "worthless", "disgusting")
@@ -48,8 +51,9 @@ CONTEXT = 60
 EDIT_WEIGHT = (1.0, 0.7, 0.5)
 QUOTED, REPORTED, ADDRESSED, CROWDED = 0.3, 0.5, 1.25, 1.25
 MAX_LABELLED = 20_000
-MIN_SUPPORT = 8
-CLEAN_SHARE = 0.02
+CLEAN_SHARE = (0.02, 0.1, 0.1, 0.1)
+MOST_OCCURRENCES = len(CLEAN_SHARE)
+SKETCH, ALIKE, COMMON = 32, 0.25, 50
 STEM = (4, 12)
 CHUNK = 4_000_000
 SCHEMA = "doc_id bigint, hits int, score double, toxic boolean, terms array<string>"
@@ -104,16 +108,20 @@ def edits(term: str | list[int]) -> int:
 
 @dataclass
 class Automaton:
-    """step[state, class] is the next state, 0 the dead one; word[state] and stem[state] are the match (1 + term index) there, or 0."""
+    """step[state, class] is the next state, 0 the dead one; word[state] and stem[state] are the match (1 + term index) there, or 0; weight is by term."""
 
     terms: list[str]
     step: np.ndarray
     word: np.ndarray
     word_edits: np.ndarray
     stem: np.ndarray
+    weight: np.ndarray
 
 
-def build(terms: tuple[str, ...] = TERMS, stems: tuple[str, ...] = ()) -> Automaton:
+Stems = tuple[str, ...] | dict[str, float]  # a dict has the weight of each stem's hits
+
+
+def build(terms: tuple[str, ...] = TERMS, stems: Stems = ()) -> Automaton:
     names = [fold(t) for t in terms] + [fold(s) for s in stems]
     # node 0 is the root of the terms, node 1 that of the stems
     kids: list[dict[int, int]] = [{}, {}]
@@ -195,28 +203,36 @@ def build(terms: tuple[str, ...] = TERMS, stems: tuple[str, ...] = ()) -> Automa
         if best:
             cost[i], word[i] = best
         stem[i] = max((end_stem[node] for node, pending, e in state if not pending and e == 0), default=0)
-    return Automaton([*terms, *stems], np.stack(rows), word, cost, stem)
+    weight = np.array([1.0] * len(terms) + [stems[s] if isinstance(stems, dict) else 1.0 for s in stems])
+    return Automaton([*terms, *stems], np.stack(rows), word, cost, stem, weight)
 
 
 def find(auto: Automaton, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, term index, edits) of each matching word of an array of classes that ends with a separator."""
+    """(start, term index, edits) of each matching word of an array of classes that ends with a separator; of several matches the one that weighs most."""
     is_word = cls > 0
     at = np.flatnonzero(is_word & ~np.concatenate(([False], is_word[:-1])))
     origin, state = at, np.ones(len(at), np.int32)
+    best, best_cost, most = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32), np.zeros(len(at))
+    weight, by_edits = np.concatenate(([0.0], auto.weight)), np.array(EDIT_WEIGHT)
     hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def better(which: np.ndarray, match: np.ndarray, cost: np.ndarray) -> None:
+        value = weight[match] * by_edits[cost]
+        take = which & (value > most)
+        best[take], best_cost[take], most[take] = match[take], cost[take], value[take]
+
     while len(at):
         c = cls[at]
         over = c == 0
-        ended = over & (auto.word[state] > 0)
-        if ended.any():
-            hits.append((origin[ended], auto.word[state[ended]] - 1, auto.word_edits[state[ended]]))
+        better(over, auto.word[state], auto.word_edits[state])
         state = auto.step[state, c]
-        stem = auto.stem[state]
-        found = stem > 0
-        if found.any():
-            hits.append((origin[found], stem[found] - 1, np.zeros(int(found.sum()), np.int32)))
-        live = (state > 0) & ~over & ~found
+        better(~over, auto.stem[state], np.zeros(len(at), np.int32))
+        live = (state > 0) & ~over
+        done = ~live & (best > 0)
+        if done.any():
+            hits.append((origin[done], best[done] - 1, best_cost[done]))
         at, origin, state = at[live] + 1, origin[live], state[live]
+        best, best_cost, most = best[live], best_cost[live], most[live]
     if not hits:
         return (np.zeros(0, np.int64),) * 3
     start, term, cost = (np.concatenate(x) for x in zip(*hits))
@@ -259,66 +275,140 @@ def score_texts(auto: Automaton, texts: list[str]) -> list[list[tuple[int, int,
         mine = owner == d if len(texts) < 2 else slice(*np.searchsorted(owner, [d, d + 1]))
         begin = start[mine] - first[d]
         near = np.searchsorted(begin, begin + CONTEXT, side="right") - np.searchsorted(begin, begin - CONTEXT) - 1
-        out[d] = [(b, t, context_score(texts[d], b, c, n)) for b, t, c, n in zip(begin.tolist(), term[mine].tolist(), cost[mine].tolist(), near.tolist())]
+        out[d] = [(b, t, float(auto.weight[t]) * context_score(texts[d], b, c, n)) for b, t, c, n in zip(begin.tolist(), term[mine].tolist(), cost[mine].tolist(), near.tolist())]
+    return out
+
+
+def _stems(text: str) -> dict[str, int]:
+    """How often each word beginning occurs."""
+    shortest, longest = STEM
+    out: dict[str, int] = {}
+    for w, c in Counter(re.findall(r"\w+", text.lower())).items():
+        for n in range(shortest, min(longest, len(w)) + 1):
+            out[w[:n]] = out.get(w[:n], 0) + c
     return out
 
 
-def _words(text: str) -> set[str]:
-    return set(re.findall(r"\w+", text.lower()))
+def _sketch(text: str) -> np.ndarray:
+    """The ``SKETCH`` smallest hashes of a text's runs of three words."""
+    words = re.findall(r"\w+", text.lower())
+    runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    return np.unique(np.array([_hash(r) for r in runs], np.int64))[:SKETCH]
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, terms: tuple[str, ...] = TERMS, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, ...]:
-    """Word beginnings that set toxic documents apart in a sample of at most ``max_labelled`` labelled rows.
+def near_copies(sketches: dict[int, np.ndarray]) -> dict[int, int]:
+    """A group for each text: that of the earlier leader with which it shares the most of its sketch, ``ALIKE`` at least, else its own."""
+    leaders: dict[int, list[int]] = {}
+    group: dict[int, int] = {}
+    for key in sorted(sketches):
+        own = sketches[key].tolist()
+        shared = Counter(k for v in own if len(leaders.get(v, ())) <= COMMON for k in leaders.get(v, ()))
+        top = max(shared, key=lambda k: (shared[k], -k), default=None)
+        if top is not None and shared[top] >= ALIKE * min(len(own), len(sketches[top])):
+            group[key] = top
+            continue
+        group[key] = key
+        for v in own:
+            leaders.setdefault(v, []).append(key)
+    return group
+
+
+def likelihood_ratio(a: int, b: int, n_a: int, n_b: int) -> float:
+    """2 ln of the likelihood ratio of a of n_a against b of n_b, 0 unless the first share is the larger."""
+    if not n_a or not n_b or a * n_b <= b * n_a:
+        return 0.0
+    n, k = n_a + n_b, a + b
+    parts = ((a, k * n_a / n), (b, k * n_b / n), (n_a - a, (n - k) * n_a / n), (n_b - b, (n - k) * n_b / n))
+    return 2 * sum(o * math.log(o / e) for o, e in parts if o > 0)
 
-    Support counts unlike documents: near copies share the word of smallest hash with
-    high probability and count once for each such word.
+
+def fit_stems(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, terms: tuple[str, ...] = TERMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """Word beginnings that set toxic documents apart in a sample of at most ``max_labelled`` labelled rows, and the weight of their hits.
+
+    Documents are counted by language (where ``docs`` has such a column) and near copies once. A stem's k is the
+    least number of occurrences, up to ``MOST_OCCURRENCES``, for which the likelihood ratio of the
+    documents that have so many is above 2 ln of the number of stems tried, and of all languages' such
+    documents the clean ones are at most the share ``CLEAN_SHARE`` has for k of the toxic ones.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    have = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    sample = have.join(F.broadcast(marked), "doc_id").select("text", "toxic")  # at most max_labelled rows of 12 bytes
-    shortest, longest = STEM
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    have = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(lang, F.lit("")).alias("lang")).where("text is not null")
+    sample = have.join(F.broadcast(marked), "doc_id")  # at most max_labelled rows of 12 bytes
+    sample = durable(sample.select("text", "lang", "toxic", F.xxhash64("text").alias("key")))
 
-    def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stem, sign = [], []
-            for text in batch.column(0):
-                words = _words(text.as_py())
-                if words:
-                    mark = min(_hash(w) for w in words)
-                    found = {w[:n] for w in words for n in range(shortest, min(longest, len(w)) + 1)}
-                    stem += found
-                    sign += [mark] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(stem, pa.string()), pa.array(sign, pa.int64())], names=["stem", "sign"])
-
-    rows = sample.where("toxic = 1").select("text").mapInArrow(of_toxic, "stem string, sign bigint")
-    support = dict(rows.groupBy("stem").agg(F.countDistinct("sign").alias("n")).where(F.col("n") >= MIN_SUPPORT).collect())
-    if not support:
-        return ()
-    candidates = frozenset(support)
-
-    def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[str, int] = {}
-        for batch in batches:
-            for text in batch.column(0):
-                for s in {w[:n] for w in _words(text.as_py()) for n in range(shortest, min(longest, len(w)) + 1)} & candidates:
-                    count[s] = count.get(s, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["stem", "n"])
-
-    clean = dict(sample.where("toxic = 0").select("text").mapInArrow(of_clean, "stem string, n bigint").groupBy("stem").agg(F.sum("n")).collect())
-    good = {s: n for s, n in support.items() if clean.get(s, 0) <= CLEAN_SHARE * n}
-    chosen: list[str] = []
+            rows = [(x["lang"], x["toxic"], x["key"], len(_stems(x["text"])) if x["toxic"] == 1 else 0, _sketch(x["text"]).tobytes()) for x in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "toxic", "key", "tried", "sketch"), r)) for r in rows], schema=SKETCHES)
+
+    rows = sample.mapInArrow(sketched, "lang string, toxic int, key bigint, tried int, sketch binary").collect()  # at most max_labelled rows of 300 bytes
+    group = near_copies({r["key"]: np.frombuffer(r["sketch"], np.int64) for r in rows})
+    size = Counter((lang, toxic) for lang, toxic, _ in {(r["lang"], int(r["toxic"] == 1), group[r["key"]]) for r in rows})
+    needed = 2 * math.log(max(2, sum(r["tried"] for r in rows)))
+    least = {}  # toxic documents that a stem needs if it is in no clean one
+    for name, toxic in size:
+        n_a, n_b = size[(name, 1)], size[(name, 0)]
+        if toxic and (enough := next((a for a in range(2, n_a + 1) if likelihood_ratio(a, 0, n_a, n_b) >= needed), None)):
+            least[name] = enough
+    if not least:
+        return {}
+
+    def counted(toxic: bool, wanted: frozenset[str] | None = None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for x in batch.to_pylist():
+                    found = _stems(x["text"])
+                    some = found if wanted is None else found.keys() & wanted
+                    out += [(s, x["lang"], group[x["key"]], min(found[s], MOST_OCCURRENCES)) for s in some]
+                columns = zip(*out) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTS)], schema=COUNTS)
+
+        of = sample.where("toxic = 1" if toxic else "toxic <> 1").select("text", "lang", "key")
+        each = of.mapInArrow(run, "stem string, lang string, copies bigint, n int").groupBy("stem", "lang", "copies").agg(F.max("n").alias("n"))
+        return each.groupBy("stem", "lang").agg(*(F.count_if(F.col("n") >= k).alias(f"n{k}") for k in range(1, MOST_OCCURRENCES + 1)))
+
+    enough = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
+    support = {(r[0], r[1]): r[2:] for r in counted(True).where(F.col("n1") >= enough[F.col("lang")]).collect()}
+    clean = {(r[0], r[1]): r[2:] for r in counted(False, frozenset(s for s, _ in support)).collect()} if support else {}
+    of_all: dict[str, np.ndarray] = {}
+    for counts, row in ((support, 0), (clean, 1)):
+        for (s, _), n in counts.items():
+            of_all.setdefault(s, np.zeros((2, MOST_OCCURRENCES), np.int64))[row] += n
+    good: dict[str, tuple[int, int]] = {}  # k, and the toxic documents with k occurrences
+    none = (0,) * MOST_OCCURRENCES
+    for (s, name), n in support.items():
+        c = clean.get((s, name), none)
+        for k in range(MOST_OCCURRENCES):
+            if of_all[s][1][k] <= CLEAN_SHARE[k] * of_all[s][0][k] and likelihood_ratio(n[k], c[k], size[(name, 1)], size[(name, 0)]) >= needed:
+                good[s] = min(good.get(s, (9, 0)), (k + 1, int(of_all[s][0][k])))
+                break
+    chosen: dict[str, int] = {}
+
+    def covered(s: str) -> bool:
+        return any(chosen.get(s[:n], 9) <= good[s][0] for n in range(1, len(s) + 1))
+
     for s in sorted(good, key=lambda s: (len(s), s)):
-        if any(s.startswith(c) for c in chosen) or any(t.startswith(s) or s.startswith(t) for t in terms):
+        if covered(s) or any(t.startswith(s) or s.startswith(t) for t in terms):
             continue
         while True:  # the longest beginning that loses no support to speak of
-            longer = [x for x in good if len(x) == len(s) + 1 and x.startswith(s) and good[x] >= 0.95 * good[s]]
+            longer = [x for x in good if len(x) == len(s) + 1 and x.startswith(s) and good[x][0] == good[s][0] and good[x][1] >= 0.95 * good[s][1]]
             if not longer:
                 break
-            s = max(longer, key=lambda x: (good[x], x))
-        if not any(s.startswith(c) for c in chosen):
-            chosen.append(s)
-    return tuple(chosen)
+            s = max(longer, key=lambda x: (good[x][1], x))
+        if not covered(s):
+            chosen[s] = good[s][0]
+    return {s: 1 / k for s, k in chosen.items()}
+
+
+SKETCHES = pa.schema([("lang", pa.string()), ("toxic", pa.int32()), ("key", pa.int64()), ("tried", pa.int32()), ("sketch", pa.binary())])
+COUNTS = pa.schema([("stem", pa.string()), ("lang", pa.string()), ("copies", pa.int64()), ("n", pa.int32())])
+
+
+def learn_stems(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, terms: tuple[str, ...] = TERMS, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, ...]:
+    """The stems of :func:`fit_stems`."""
+    return tuple(fit_stems(docs, labels, max_labelled, terms, id_col, text_col))
 
 
 def _hash(word: str) -> int:
@@ -327,9 +417,9 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
 
 
-def _shared(docs: DataFrame, labels: DataFrame | None, stems: tuple[str, ...] | None, terms: tuple[str, ...], id_col: str, text_col: str):
+def _shared(docs: DataFrame, labels: DataFrame | None, stems: Stems | None, terms: tuple[str, ...], id_col: str, text_col: str):
     if stems is None:
-        stems = learn_stems(docs, labels, terms=terms, id_col=id_col, text_col=text_col) if labels is not None else ()
+        stems = fit_stems(docs, labels, terms=terms, id_col=id_col, text_col=text_col) if labels is not None else ()
     return docs.sparkSession.sparkContext.broadcast(build(terms, stems))  # the lexicon's automaton, of the lexicon's size
 
 
@@ -338,7 +428,7 @@ def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch
         yield part, pc.fill_null(part.column(column), "").to_pylist()
 
 
-def toxicity(docs: DataFrame, labels: DataFrame | None = None, stems: tuple[str, ...] | None = None, terms: tuple[str, ...] = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame | None = None, stems: Stems | None = None, terms: tuple[str, ...] = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, hits, score, toxic, terms), one row for each document; no shuffle of documents."""
     auto = _shared(docs, labels, stems, terms, id_col, text_col)
 
@@ -355,7 +445,7 @@ def toxicity(docs: DataFrame, labels: DataFrame | None = None, stems: tuple[str,
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, stems: tuple[str, ...] | None = None, terms: tuple[str, ...] = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, stems: Stems | None = None, terms: tuple[str, ...] = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that :func:`toxicity` doesn't call toxic, columns unchanged."""
     auto = _shared(docs, labels, stems, terms, id_col, text_col)
 
