@@ -120,6 +120,17 @@ def test_stems_of_a_small_language_and_of_frequent_use(spark, syllables):
     assert sorted(r["doc_id"] for r in rows_of(T.toxicity(docs, labels)) if r["toxic"]) == list(range(0, 300, 10))
 
 
+def test_verdict_on_a_single_misspelled_term(spark):
+    toxic = ["you idoit", "so disgustng, you know", "you are wrothless", "tu es stupidd", "a grantlove", "granotlven"]
+    clean = ["your lower back", "you are closer to it", "you have an idiom", 'the word "idoit" was yours', "there is an idoit", "gratnlvoen here"]
+    d = docs_of(spark, list(enumerate(toxic + clean)))
+    rows = rows_of(T.toxicity(d, stems={"grantolv": 1.25}))
+    assert sorted(r["doc_id"] for r in rows if r["toxic"]) == list(range(len(toxic)))
+    assert len(rows_of(T.drop_toxic(d, stems={"grantolv": 1.25}))) == len(clean)
+    auto = T.build(T.TERMS, ("grantolv",), frozenset(["grantolv"]))
+    assert T.score_texts(auto, ["grantlove"]) == [[]] and len(T.score_texts(auto, ["grantolve"])[0]) == 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 50])
 def test_batches_dont_matter(n, syllables):
     auto = T.build()

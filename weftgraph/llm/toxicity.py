@@ -3,13 +3,15 @@
 The lexicon has whole terms, matched up to an edit distance that grows with their
 length (``edits``; a swap of neighbouring letters is one edit, and the first letter
 may be replaced or swapped but not left out), and stems, matched exactly at the
-start of a word. Terms and stems form one trie; the product of the trie with the
+start of a word, or with one edit if they have ``STEM_EDIT`` letters and such words are rare in the clean
+documents of the fit (:func:`_fit`). Terms and stems form one trie; the product of the trie with the
 Levenshtein automata is determinised once on the driver to a table of states times
 character classes. Workers run that table over all words of a batch at once with
 NumPy. Characters are folded first: case, digits and signs that stand for letters,
 letters repeated more than twice and, for terms but not for stems, accents.
 
-Each hit starts from 1 for an exact match and less for each edit. Its context, a window of
+Each hit starts from 1 for an exact match and less for each edit, least where one edit gives an ordinary
+word (``ORDINARY``). Its context, a window of
 ``CONTEXT`` characters on either side, multiplies that: a hit between
 quotation marks or near a reporting word (it is mentioned rather than used) counts
 less, one near a second-person pronoun or another hit counts more. A document is
@@ -48,13 +50,20 @@ from .textvec import chunks
 TERMS = ("idiot", "moron", "loser", "clown", "scum", "trash", "stupid", "pathetic", "worthless", "disgusting")
 THRESHOLD = 1.0
 CONTEXT = 60
-EDIT_WEIGHT = (1.0, 0.7, 0.5)
+EDIT_WEIGHT = (1.0, 0.8, 0.5)  # in second-person context one edit reaches THRESHOLD
+ORDINARY_WEIGHT = 0.7
+#: Words of the covered languages that are one edit away from a term.
+ORDINARY = frozenset(
+    "idiom moran moroni boron marron loner looser closer lower lover loses losel loper laser poser loose lose louer loger leser doser "
+    "loved loper hoser moser crown clowne clow blown flown crash brash thrash trasse apathetic bathetic".split()
+)
 QUOTED, REPORTED, ADDRESSED, CROWDED = 0.3, 0.5, 1.25, 1.25
 MAX_LABELLED = 20_000
 CLEAN_SHARE = (0.02, 0.1, 0.1, 0.1)
 MOST_OCCURRENCES = len(CLEAN_SHARE)
 SKETCH, ALIKE, COMMON = 32, 0.25, 50
 STEM = (4, 12)
+STEM_EDIT = 6
 CHUNK = 4_000_000
 SCHEMA = "doc_id bigint, hits int, score double, toxic boolean, terms array<string>"
 
@@ -106,37 +115,45 @@ def edits(term: str | list[int]) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
 
+def stem_edits(stem: str | list[int]) -> int:
+    """Shorter stems get no edit: in a beginning of a word too many other words are that near."""
+    return 0 if len(stem) < STEM_EDIT else 1
+
+
 @dataclass
 class Automaton:
-    """step[state, class] is the next state, 0 the dead one; word[state] and stem[state] are the match (1 + term index) there, or 0; weight is by term."""
+    """step[state, class] is the next state, 0 the dead one; word[state] and stem[state] are the match (1 + term index) there, or 0, of word_edits[state] and stem_edits[state]; weight is by term."""
 
     terms: list[str]
     step: np.ndarray
     word: np.ndarray
     word_edits: np.ndarray
     stem: np.ndarray
+    stem_edits: np.ndarray
     weight: np.ndarray
 
 
 Stems = tuple[str, ...] | dict[str, float]  # a dict has the weight of each stem's hits
 
 
-def build(terms: tuple[str, ...] = TERMS, stems: Stems = ()) -> Automaton:
+def build(terms: tuple[str, ...] = TERMS, stems: Stems = (), exact: frozenset[str] = frozenset()) -> Automaton:
+    """``exact`` has the stems that get no edits whatever their length."""
     names = [fold(t) for t in terms] + [fold(s) for s in stems]
+    allowance = [edits(x) for x in names[: len(terms)]] + [0 if s in exact else stem_edits(x) for s, x in zip(stems, names[len(terms) :])]
     # node 0 is the root of the terms, node 1 that of the stems
     kids: list[dict[int, int]] = [{}, {}]
     end_term, end_stem = [0, 0], [0, 0]
     fuzzy = [0, 0]  # most edits of any term below
-    exact = [False, True]
+    stemmed = [False, True]
     for i, name in enumerate(names):
         of_stem = i >= len(terms)
-        allowed = 0 if of_stem else edits(name)
+        allowed = allowance[i]
         at = int(of_stem)
         fuzzy[at] = max(fuzzy[at], allowed)
         for c in name if of_stem else [BARE[c] for c in name]:
             if c not in kids[at]:
                 kids[at][c] = len(kids)
-                for x, v in ((kids, {}), (end_term, 0), (end_stem, 0), (fuzzy, 0), (exact, of_stem)):
+                for x, v in ((kids, {}), (end_term, 0), (end_stem, 0), (fuzzy, 0), (stemmed, of_stem)):
                     x.append(v)
             at = kids[at][c]
             fuzzy[at] = max(fuzzy[at], allowed)
@@ -144,14 +161,15 @@ def build(terms: tuple[str, ...] = TERMS, stems: Stems = ()) -> Automaton:
             end_stem[at] = i + 1
         else:
             end_term[at] = i + 1
-    limit = {i + 1: (edits(n) if i < len(terms) else 0) for i, n in enumerate(names)}
+    limit = {i + 1: a for i, a in enumerate(allowance)}
+    accented = {c for node, k in enumerate(kids) if stemmed[node] for c in k}
 
     def close(items: dict[tuple, int]) -> frozenset:
         """With deletions; items map (node, pending class) to the fewest edits, pending 0 for none."""
         todo = list(items.items())
         while todo:
             (node, pending), e = todo.pop()
-            if pending or node == 0 or items[(node, pending)] < e:  # a first letter isn't left out
+            if pending or node < 2 or items[(node, pending)] < e:  # a first letter isn't left out
                 continue
             for k in kids[node].values():
                 if e + 1 <= fuzzy[k] and items.get((k, 0), 9) > e + 1:
@@ -165,7 +183,12 @@ def build(terms: tuple[str, ...] = TERMS, stems: Stems = ()) -> Automaton:
     while queue:
         state = queue.pop(0)
         row = np.zeros(len(BARE), np.int32)
+        alike: dict[tuple[int, int], int] = {}  # letters that no stem has differ by their bare letter alone
         for c in range(1, len(BARE)):
+            kind = (BARE[c], c if c in accented else 0)
+            if kind in alike:
+                row[c] = alike[kind]
+                continue
             nxt: dict[tuple, int] = {}
 
             def put(node: int, pending: int, e: int, nxt=nxt) -> None:
@@ -174,37 +197,36 @@ def build(terms: tuple[str, ...] = TERMS, stems: Stems = ()) -> Automaton:
 
             b = BARE[c]
             for node, pending, e in state:
-                if exact[node]:
-                    if c in kids[node]:
-                        put(kids[node][c], 0, 0)
-                    continue
+                x = c if stemmed[node] else b
                 if pending:  # the second letter of a swap: node is where the swapped pair leads
-                    if pending == b:
+                    if pending == x:
                         put(node, 0, e)
                     continue
                 put(node, 0, e + 1)  # an inserted letter
                 for k, child in kids[node].items():
-                    if k == b:
+                    if k == x:
                         put(child, 0, e)
                     else:
                         put(child, 0, e + 1)
-                        if b in kids[child]:
-                            put(kids[child][b], k, e + 1)
+                        if x in kids[child]:
+                            put(kids[child][x], k, e + 1)
             new = close(nxt)
             if new not in index:
                 index[new] = len(index)
                 queue.append(new)
-            row[c] = index[new]
+            row[c] = alike[kind] = index[new]
         rows.append(row)
     n = len(index)
-    word, cost, stem = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    word, cost, stem, stem_cost = (np.zeros(n, np.int32) for _ in range(4))
     for state, i in index.items():
         best = min(((e, end_term[node]) for node, pending, e in state if not pending and end_term[node] and e <= limit[end_term[node]]), default=None)
         if best:
             cost[i], word[i] = best
-        stem[i] = max((end_stem[node] for node, pending, e in state if not pending and e == 0), default=0)
+        best = min(((e, -end_stem[node]) for node, pending, e in state if not pending and end_stem[node] and e <= limit[end_stem[node]]), default=None)
+        if best:
+            stem_cost[i], stem[i] = best[0], -best[1]
     weight = np.array([1.0] * len(terms) + [stems[s] if isinstance(stems, dict) else 1.0 for s in stems])
-    return Automaton([*terms, *stems], np.stack(rows), word, cost, stem, weight)
+    return Automaton([*terms, *stems], np.stack(rows), word, cost, stem, stem_cost, weight)
 
 
 def find(auto: Automaton, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +248,7 @@ def find(auto: Automaton, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         over = c == 0
         better(over, auto.word[state], auto.word_edits[state])
         state = auto.step[state, c]
-        better(~over, auto.stem[state], np.zeros(len(at), np.int32))
+        better(~over, auto.stem[state], auto.stem_edits[state])
         live = (state > 0) & ~over
         done = ~live & (best > 0)
         if done.any():
@@ -245,6 +267,8 @@ def context_score(text: str, begin: int, cost: int, near: int) -> float:
     left = text[max(0, begin - CONTEXT) : begin].lower()
     right = text[begin : begin + CONTEXT].lower()
     score = EDIT_WEIGHT[cost]
+    if cost == 1 and (word := re.match(r"\w+", right)) and word[0] in ORDINARY:
+        score = ORDINARY_WEIGHT
     line_l, line_r = left.rpartition("\n")[2], right.partition("\n")[0]
     quoted = len(OPEN_QUOTE.findall(line_l)) % 2 == 1 and OPEN_QUOTE.search(line_r)
     if quoted:
@@ -258,8 +282,8 @@ def context_score(text: str, begin: int, cost: int, near: int) -> float:
     return score
 
 
-def score_texts(auto: Automaton, texts: list[str]) -> list[list[tuple[int, int, float]]]:
-    """For each text its hits as (begin, term index, score)."""
+def _matches(auto: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`find` has for the texts, each of them and one separator after the other."""
     joined = "\n".join(texts) + "\n"
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     cls = classes(cps)
@@ -267,7 +291,12 @@ def score_texts(auto: Automaton, texts: list[str]) -> list[list[tuple[int, int,
     run[2:] = (cls[2:] == cls[1:-1]) & (cls[2:] == cls[:-2]) & (cls[2:] > 0)
     keep = np.flatnonzero(~run)
     start, term, cost = find(auto, cls[keep])
-    start = keep[start]
+    return keep[start], term, cost
+
+
+def score_texts(auto: Automaton, texts: list[str]) -> list[list[tuple[int, int, float]]]:
+    """For each text its hits as (begin, term index, score)."""
+    start, term, cost = _matches(auto, texts)
     first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
     owner = np.searchsorted(first, start, side="right") - 1
@@ -323,12 +352,19 @@ def likelihood_ratio(a: int, b: int, n_a: int, n_b: int) -> float:
 
 
 def fit_stems(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, terms: tuple[str, ...] = TERMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
-    """Word beginnings that set toxic documents apart in a sample of at most ``max_labelled`` labelled rows, and the weight of their hits.
+    """The stems of :func:`_fit` and the weight of their hits."""
+    return _fit(docs, labels, max_labelled, terms, id_col, text_col, lang_col)[0]
+
+
+def _fit(docs: DataFrame, labels: DataFrame, max_labelled: int, terms: tuple[str, ...], id_col: str, text_col: str, lang_col: str = "lang") -> tuple[dict[str, float], frozenset[str]]:
+    """Word beginnings that set toxic documents apart in a sample of at most ``max_labelled`` labelled rows, with the weight of their hits; which of these get no edits.
 
     Documents are counted by language (where ``docs`` has such a column) and near copies once. A stem's k is the
     least number of occurrences, up to ``MOST_OCCURRENCES``, for which the likelihood ratio of the
     documents that have so many is above 2 ln of the number of stems tried, and of all languages' such
-    documents the clean ones are at most the share ``CLEAN_SHARE`` has for k of the toxic ones.
+    documents the clean ones are at most the share ``CLEAN_SHARE`` has for k of the toxic ones. The same
+    share bounds the clean documents with k edited hits of a stem that gets edits; a stem
+    that begins with another one gets none.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -352,7 +388,7 @@ def fit_stems(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
         if toxic and (enough := next((a for a in range(2, n_a + 1) if likelihood_ratio(a, 0, n_a, n_b) >= needed), None)):
             least[name] = enough
     if not least:
-        return {}
+        return {}, frozenset()
 
     def counted(toxic: bool, wanted: frozenset[str] | None = None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +435,25 @@ def fit_stems(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
             s = max(longer, key=lambda x: (good[x][1], x))
         if not covered(s):
             chosen[s] = good[s][0]
-    return {s: 1 / k for s, k in chosen.items()}
+    weights = {s: 1 / k for s, k in chosen.items()}
+    exact = {s for s in chosen if any(s[:n] in chosen for n in range(1, len(s)))}
+    if any(s not in exact and stem_edits(fold(s)) for s in chosen):
+        auto = build(terms, weights, frozenset(exact))
+
+        def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for x in batch.to_pylist():
+                    _, term, cost = _matches(auto, [x["text"]])
+                    out += [(auto.terms[t], "", group[x["key"]], n) for t, n in Counter(term[cost > 0].tolist()).items() if t >= len(terms)]
+                columns = zip(*out) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTS)], schema=COUNTS)
+
+        each = sample.where("toxic <> 1").select("text", "key").mapInArrow(edited, "stem string, lang string, copies bigint, n int").groupBy("stem", "copies").agg(F.max("n").alias("n"))
+        needs = F.create_map(*(F.lit(x) for pair in chosen.items() for x in pair))
+        near = dict(each.where(F.col("n") >= needs[F.col("stem")]).groupBy("stem").count().collect())
+        exact |= {s for s, n in near.items() if n > CLEAN_SHARE[chosen[s] - 1] * good[s][1]}
+    return weights, frozenset(exact)
 
 
 SKETCHES = pa.schema([("lang", pa.string()), ("toxic", pa.int32()), ("key", pa.int64()), ("tried", pa.int32()), ("sketch", pa.binary())])
@@ -418,9 +472,10 @@ def _hash(word: str) -> int:
 
 
 def _shared(docs: DataFrame, labels: DataFrame | None, stems: Stems | None, terms: tuple[str, ...], id_col: str, text_col: str):
+    exact: frozenset[str] = frozenset()
     if stems is None:
-        stems = fit_stems(docs, labels, terms=terms, id_col=id_col, text_col=text_col) if labels is not None else ()
-    return docs.sparkSession.sparkContext.broadcast(build(terms, stems))  # the lexicon's automaton, of the lexicon's size
+        stems, exact = _fit(docs, labels, MAX_LABELLED, terms, id_col, text_col) if labels is not None else ((), frozenset())
+    return docs.sparkSession.sparkContext.broadcast(build(terms, stems, exact))  # the lexicon's automaton, of the lexicon's size
 
 
 def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
