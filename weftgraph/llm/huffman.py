@@ -17,14 +17,15 @@ id's code as one byte, 0 for an id that doesn't occur; n_tokens: all tokens) and
 counting and coding, so that no text is tokenised twice.
 
 Cases: a null or empty text is one block of 0 tokens; a single distinct id has a code of
-1 bit; an empty table gives the codebook row with no codes; texts of more than
-``SEGMENT`` characters are tokenised in segments of that size, which the vocabulary decodes to
-the same text; repeated rows are coded each; extra columns aren't read.
+1 bit; an empty table gives the codebook row with no codes; repeated rows are coded
+each; extra columns aren't read; ids of documents are integers. A text of any length has the ids of
+its whole: a long one is tokenised piece by piece, cut only where the vocabulary's pattern ends a token.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MAX_BITS = 18
 BLOCK = 32_768
 STRIDE = 1_024
-SEGMENT = 100_000
+#: Characters after which a text is cut at the next place where it may be.
+PIECE = 1_000_000
+#: Runs of blanks from this length on don't go through the pattern, whose lookahead overflows at some hundred thousand.
+RUN = 20_000
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # what \s is in the pattern
 SLICE = 1_000_000
 SCHEMA = "kind string, doc_id bigint, block int, n_tokens bigint, n_bits bigint, checkpoints array<int>, payload binary"
 _NAMES = ["kind", "doc_id", "block", "n_tokens", "n_bits", "checkpoints", "payload"]
@@ -57,11 +62,37 @@ def encoder(ranks: dict[bytes, int]):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenise(enc, text: str | None) -> np.ndarray:
-    text = text or ""
-    if len(text) <= SEGMENT:
-        return enc.encode_to_numpy(text)
-    return np.concatenate([enc.encode_to_numpy(text[i : i + SEGMENT]) for i in range(0, len(text), SEGMENT)])
+def pieces(text: str, piece: int = PIECE, run: int = RUN) -> Iterator[tuple[str, bool]]:
+    """The text in parts, each with True if it is a single pre-token.
+
+    The pattern ends a token at each blank that follows something else, whatever comes next, and
+    in a run of blanks at its end or, if another character follows, before the last blank.
+    """
+    if len(text) <= min(piece, run):
+        yield text, False
+        return
+    edge = re.compile(f"(?<=[^{_BLANK}])[{_BLANK}]")
+
+    def cut(start: int, stop: int) -> Iterator[tuple[str, bool]]:
+        while stop - start > piece and (m := edge.search(text, start + piece, stop)):
+            yield text[start : m.start()], False
+            start = m.start()
+        if stop > start:
+            yield text[start:stop], False
+
+    at = 0
+    for m in re.finditer(f"[{_BLANK}]{{{run},}}", text):
+        end = m.end() - (m.end() < len(text))
+        yield from cut(at, m.start())
+        yield text[m.start() : end], True
+        at = end
+    yield from cut(at, len(text))
+
+
+def tokenise(enc, text: str | None, piece: int = PIECE, run: int = RUN) -> np.ndarray:
+    """The ids of the whole text."""
+    parts = [np.asarray(enc._encode_single_piece(x), np.uint32) if single else enc.encode_to_numpy(x) for x, single in pieces(text or "", piece, run)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
