@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm import chat as C
 from weftgraph.llm import huffman as H
 from weftgraph.llm import lm_scoring as L
+from weftgraph.llm import queries
 
 
 def brute_scores(rows):
@@ -167,6 +168,20 @@ def test_round_trip(spark, odd_docs, no_docs, syllables):
     assert len(empty) == 1 and empty[0]["kind"] == "codebook" and not any(empty[0]["payload"])
 
 
+def test_ids_of_long_texts_are_those_of_the_whole(syllables):
+    enc = H.encoder(H.load_ranks(H.VOCABULARY))
+    rng = random.Random(3)
+    parts = ["a", "word", " ", "  ", "\n", "\u00a0", "\u3000 ", "\t\t", "'s", "12", "!?", "é", "\x1c", " x", "    "]
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 40)))
+        assert H.tokenise(enc, text, rng.randint(1, 9), rng.randint(2, 6)).tolist() == enc.encode(text), repr(text)
+    text = syllables(60_000, 1)
+    assert len(text) > 250_000 and H.tokenise(enc, text, 100_000).tolist() == enc.encode(text)
+    assert H.tokenise(enc, "x" * 300_000, 1_000).tolist() == enc.encode("x" * 300_000)
+    blanks = H.tokenise(enc, "a" + " " * 1_000_000 + "x")  # more than the pattern's engine can go back over
+    assert enc.decode(blanks.tolist()) == "a" + " " * 1_000_000 + "x" and blanks.tolist()[-1:] == enc.encode(" x")
+
+
 LAYOUTS = [
     ({"id": 1, "messages": [{"role": "system", "content": "be kind"}, {"role": "USER", "content": "hi"}, {"role": "assistant", "content": "hello"}]}, "messages", [("system", "be kind"), ("user", "hi"), ("assistant", "hello")]),
     ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}, "messages_parts", [("user", "a\nb")]),
@@ -209,3 +224,38 @@ def test_chat_odd_cases(spark):
     assert C.table_to_turns(t.limit(0)).count() == 0
     bad = spark.createDataFrame([('{"prompt": "\\ud800", "completion": "ok"}',), ("[" * 100_000,)], "json string")
     assert C.to_turns(bad).count() == 3
+
+
+def _only(record):
+    return [(n, r, c) for _, n, r, c, *_ in C.canonical(record if isinstance(record, str) else json.dumps(record), {})]
+
+
+def test_chat_deep_nesting():
+    for depth in (10, 900, 3_000, 100_000):
+        deep = "[" * depth + '"a"' + "]" * depth
+        got = _only('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": ' + deep + "}]}")
+        assert got in ([(0, "user", "q"), (1, "assistant", "a")], [(0, None, None)]) and (depth > 900 or got[0][1])
+        obj = '{"k":' * depth + "1" + "}" * depth
+        got = _only('{"prompt": "p", "completion": ' + obj + "}")
+        assert got in ([(0, "user", "p"), (1, "assistant", obj)], [(0, None, None)])
+
+
+def test_chat_keys_that_look_like_paths():
+    assert C.canonical('{"data.prompt.text": "p", "data.reply.text": "r"}', {})[0][4] == C.UNKNOWN
+    assert C.paths({"a.b": 1, "c[]": 2, "d\ne": 3, "f": {"g": [4]}}) == {r"a\.b", r"c\[\]", r"d\ne", "f.g[]"}
+    assert C.fingerprint(C.paths({"a.b": 1})) != C.fingerprint(C.paths({"a": {"b": 1}}))
+
+
+def test_chat_mixed_arrays_and_numbers():
+    assert _only({"messages": [{"role": "system", "content": "s"}, "plain", None, ["x", {"text": "y"}, {"n": 1}], {"role": "ai", "content": 5}]}) == [
+        (0, "system", "s"), (1, "user", "plain"), (2, "user", 'x\ny\n{"n":1}'), (3, "assistant", "5"),
+    ]
+    for turn, want in ((3, 3), (3.0, 3), ("3", 3), (" 4 ", 4), (2.5, 0), ("x", 0), (True, 0), (2**70, 0), (1e300, 0), ([], 0)):
+        assert _only({"turn": turn, "text": "t", "x": 1}) == ([(want, "user", "t")] if turn != [] else [(0, None, None)])
+
+
+def test_chat_query_over_layouts(spark):
+    rows = [(i, t, r, x) for i in range(12) for t, r, x in ((0, "system", f"s{i}"), (1, "user", f'u"{i}\n'), (2, "assistant", f"ä{i}"))]
+    out = rows_of(C.to_turns(queries.as_layouts(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))))
+    assert {r["layout"] for r in out} == {"flat_turn", "messages", "sharegpt", "messages_parts", "prompt_response"}
+    assert sorted((int(r["conv_id"]), r["role"], r["content"]) for r in out) == sorted((i, r, x) for i, _, r, x in rows)

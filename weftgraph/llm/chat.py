@@ -18,14 +18,19 @@ role and content null and layout ``unknown``, so that nothing vanishes silently;
 a null or empty content makes no turn, and a record all of whose contents are empty
 gives one row of layout ``empty``; roles are compared without case and unknown roles
 are kept in lower case; a null role is ``user``. Turns are numbered from 0 within
-their record, flat turns by their own number. Repeated records give repeated rows.
-Extra fields don't hinder a mapping, but change the fingerprint.
+their record, flat turns by their own number, which may be written as a string or with a fraction of zero, and else is 0.
+Repeated records give repeated rows. Extra fields don't hinder a mapping, but change the fingerprint.
+Of a content in parts each string, and each object's text, is a line; an object without a text is
+written as JSON. An element of a message array that isn't an object is a turn of the user. Dots,
+brackets and line feeds of a key are escaped, so that a key can't pass for a path. Nesting of any depth that the
+JSON parser reads is followed; a deeper record is ``unknown``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,6 +76,10 @@ MAPPINGS: tuple[Mapping, ...] = (
 )
 
 
+def _key(k: str) -> str:
+    return re.sub(r"([.\[\]\\])", r"\\\1", k).replace("\n", "\\n")
+
+
 def paths(value, at: str = "") -> set[str]:
     """The paths of a record that hold a value; nulls hold none, nor do empty arrays and objects."""
     found: set[str] = set()
@@ -78,7 +87,7 @@ def paths(value, at: str = "") -> set[str]:
     while stack:
         v, p = stack.pop()
         if isinstance(v, dict):
-            stack += [(x, f"{p}.{k}" if p else k) for k, x in v.items()]
+            stack += [(x, f"{p}.{_key(k)}" if p else _key(k)) for k, x in v.items()]
         elif isinstance(v, list):
             stack += [(x, p + "[]") for x in v]
         elif v is not None:
@@ -87,7 +96,7 @@ def paths(value, at: str = "") -> set[str]:
 
 
 def fingerprint(found: set[str]) -> str:
-    return hashlib.blake2b("\n".join(sorted(found)).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    return hashlib.md5("\n".join(sorted(found)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def select_mapping(found: set[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
@@ -101,12 +110,54 @@ def _at(record, path: str):
     return record
 
 
-def _text(v) -> str:
-    if isinstance(v, str):
-        return v if v.isascii() else v.encode("utf-8", "replace").decode()  # JSON may escape half a surrogate pair
-    if isinstance(v, list):  # content in parts
-        return "\n".join(x for x in (_text(p.get("text")) if isinstance(p, dict) else _text(p) for p in v) if x)
-    return "" if v is None else json.dumps(v)
+def _array(v) -> list:
+    return v if isinstance(v, list) else []
+
+
+def _json(value) -> str:
+    """Compact JSON, however deep."""
+    out: list[str] = []
+    stack: list[tuple[bool, object]] = [(False, value)]  # with True for what is written as it is
+    while stack:
+        done, v = stack.pop()
+        if done:
+            out.append(v)
+        elif isinstance(v, dict):
+            parts = [p for k, x in v.items() for p in ((True, ","), (True, json.dumps(k, ensure_ascii=False) + ":"), (False, x))]
+            stack += [(True, "}"), *reversed(parts[1:]), (True, "{")]
+        elif isinstance(v, list):
+            parts = [p for x in v for p in ((True, ","), (False, x))]
+            stack += [(True, "]"), *reversed(parts[1:]), (True, "[")]
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
+def _text(value) -> str:
+    parts: list[str] = []
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            parts.append(v)
+        elif isinstance(v, list):
+            stack += reversed(v)
+        elif isinstance(v, dict) and "text" in v:
+            stack.append(v["text"])
+        elif v is not None:
+            parts.append(_json(v))
+    text = "\n".join(p for p in parts if p)
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()  # JSON may escape half a surrogate pair
+
+
+def _number(v) -> int:
+    """A turn's own number; 0 for what isn't a whole number of 64 bits."""
+    try:
+        x = float(v) if isinstance(v, str) else v
+        n = 0 if isinstance(x, bool) else int(x)
+        return n if n == x and abs(n) < 2**63 else 0
+    except (TypeError, ValueError, OverflowError):
+        return 0
 
 
 def _role(v) -> str:
@@ -122,15 +173,13 @@ def turns(record: dict, mapping: Mapping) -> list[tuple[int, str, str]]:
         elif kind == "join":
             out.append((None, args[1], "\n\n".join(x for x in (_text(_at(record, p)) for p in args[0]) if x)))
         elif kind == "each":
-            for x in _at(record, args[0]) or []:
-                if isinstance(x, dict):
-                    out.append((None, _role(x.get(args[1])), _text(x.get(args[2]))))
+            for x in _array(_at(record, args[0])):
+                out.append((None, _role(x.get(args[1])), _text(x.get(args[2]))) if isinstance(x, dict) else (None, "user", _text(x)))
         elif kind == "alternate":
-            for i, x in enumerate(_at(record, args[0]) or []):
+            for i, x in enumerate(_array(_at(record, args[0]))):
                 out.append((None, ("user", "assistant")[i % 2], _text(x)))
         elif kind == "flat":
-            n = record.get(args[0])
-            out.append((n if isinstance(n, int) and not isinstance(n, bool) and abs(n) < 2**63 else 0, _role(record.get(args[1])), _text(record.get(args[2]))))
+            out.append((_number(record.get(args[0])), _role(record.get(args[1])), _text(record.get(args[2]))))
     kept = [t for t in out if t[2]]
     return [(i if n is None else n, r, c) for i, (n, r, c) in enumerate(kept)]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, fingerprints, huffman, line_dedup, lm_scoring, mixing, near_dedup, packing, toxicity
 from .common import table
@@ -28,8 +29,27 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def as_layouts(turns: DataFrame) -> DataFrame:
+    """(json): each row of ``conversations`` as a record of one of five layouts, by its conversation's number."""
+    said = [F.when(F.col("role") == r, F.col("text")).otherwise("").alias(f) for r, f in (("system", "system"), ("user", "prompt"), ("assistant", "response"))]
+    speaker = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    parts = F.array(F.struct(F.lit("text").alias("type"), "text"))
+    records = [
+        F.struct("conv_id", "turn", "role", "text"),
+        F.struct(F.col("conv_id").alias("id"), F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")),
+        F.struct(F.col("conv_id").alias("id"), F.array(F.struct(speaker.alias("from"), F.col("text").alias("value"))).alias("conversations")),
+        F.struct(F.col("conv_id").alias("uuid"), F.array(F.struct("role", parts.alias("content"))).alias("messages")),
+        F.struct(F.col("conv_id").alias("conversation_id"), *said),
+    ]
+    which = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(len(records)))
+    out = F.to_json(records[0])
+    for i, r in enumerate(records[1:], 1):
+        out = F.when(which == i, F.to_json(r)).otherwise(out)
+    return turns.select(out.alias("json"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.table_to_turns(table(spark, sf_dir, "conversations"))
+    return chat.to_turns(as_layouts(table(spark, sf_dir, "conversations")))
 
 
 def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +91,18 @@ FROM placed p JOIN plan q ON p.source IS NOT DISTINCT FROM q.source
 WHERE src_tokens > 0 AND goal // src_tokens + CASE WHEN run <= goal % src_tokens THEN 1 ELSE 0 END > 0
 """
 
+OP5_SQL = r"""
+WITH l AS (SELECT i, layout, md5(array_to_string(string_split(paths, ' '), chr(10))) AS fingerprint FROM (VALUES
+  (0, 'flat_turn', 'conv_id role text turn'),
+  (1, 'messages', 'id messages[].content messages[].role'),
+  (2, 'sharegpt', 'conversations[].from conversations[].value id'),
+  (3, 'messages_parts', 'messages[].content[].text messages[].content[].type messages[].role uuid'),
+  (4, 'prompt_response', 'conversation_id prompt response system')) AS v(i, layout, paths))
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CASE WHEN i = 0 THEN turn ELSE 0 END AS turn, CASE WHEN text <> '' THEN role END AS role, nullif(text, '') AS content,
+  CASE WHEN text <> '' THEN layout ELSE 'empty' END AS layout, fingerprint
+FROM conversations JOIN l ON l.i = conv_id % 5
+"""
+
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS k FROM documents)
 SELECT doc_id,
@@ -80,9 +112,9 @@ FROM n
 """
 
 OP10_SQL = r"""
-WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
+WITH l AS (SELECT doc_id, text, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS raw FROM documents),
 p AS (SELECT doc_id, unnest(raw) AS line, unnest(range(len(raw))) AS pos FROM l),
-t AS (SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS s FROM p),
+t AS (SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM p),
 w AS (
   SELECT doc_id, pos, s || chr(10) || lead(s) OVER o || chr(10) || lead(s, 2) OVER o AS k
   FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
@@ -90,11 +122,11 @@ later AS (
   SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r FROM w WHERE k IS NOT NULL AND length(k) > 2) WHERE r > 1),
 gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM later, (SELECT unnest(range(3)) AS j)),
 kept AS (SELECT t.doc_id, t.pos, t.line, g.pos IS NOT NULL AS out FROM t LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.pos = g.pos),
-a AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT out), '') AS text, count(*) FILTER (out) AS removed_lines FROM kept GROUP BY doc_id)
+a AS (SELECT doc_id, coalesce(string_agg(line, '' ORDER BY pos) FILTER (NOT out), '') AS text, count(*) FILTER (out) AS removed_lines FROM kept GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(a.text, d.text) END AS text, coalesce(a.removed_lines, 0)::BIGINT AS removed_lines
 FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL}
