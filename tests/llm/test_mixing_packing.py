@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest_llm import docs_of, rows_of
 
+from weftgraph.llm import huffman as H
 from weftgraph.llm import mixing as M
 from weftgraph.llm import packing as P
 
@@ -110,30 +111,46 @@ def test_sum_of_squares_against_brute_force():
     rng = random.Random(6)
     for window in (5, 12, 40):
         sizes = [rng.randint(1, window) for _ in range(300)]
-        where, start = P.pack_sizes(np.array(sizes), window)
-        assert list(zip(where.tolist(), start.tolist())) == brute_pack(sizes, window)
+        packer = P.Packer(window)
+        assert [packer.place(s) for s in sizes] == brute_pack(sizes, window)
+
+
+def check_packed(rows, out, window):
+    """Pieces make up each row's ids, windows are filled from 0 without gaps, and each stream is packed by the rule."""
+    enc = H.encoder(H.load_ranks(H.VOCABULARY))
+    want = collections.Counter((i, enc.decode(enc.encode(t or ""))) for i, t in rows)
+    got, streams, windows = collections.defaultdict(list), collections.defaultdict(list), collections.defaultdict(list)
+    for r in sorted(out, key=lambda r: (r["row_id"], r["piece"])):
+        ids = np.frombuffer(r["tokens"], "<u2").tolist()
+        assert len(ids) == r["n_tokens"] <= window and (r["window_id"] is None) == (r["start"] is None) == (not ids)
+        got[(r["row_id"], r["doc_id"])].append(ids)
+        if ids:
+            streams[r["row_id"] >> 40].append((len(ids), (r["window_id"] & (2**40 - 1), r["start"])))
+            assert r["window_id"] >> 40 == r["row_id"] >> 40
+            windows[r["window_id"]].append((r["start"], ids, r["row_id"], r["piece"]))
+    assert collections.Counter((i, enc.decode(sum(ids, []))) for (_, i), ids in got.items()) == want
+    for s in streams.values():
+        assert [w for _, w in s] == brute_pack([n for n, _ in s], window)
+    for spans in windows.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a[0] + len(a[1]) == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][0] + len(spans[-1][1]) <= window
+    return windows
 
 
-def test_pack_is_complete_and_tight(spark, syllables):
+def test_pack_against_brute_force(spark, syllables):
     rng = random.Random(7)
-    rows = [(i, syllables(int(rng.lognormvariate(4, 1)), i)) for i in range(1500)]
-    out = rows_of(P.pack(docs_of(spark, rows), window=256, per_shard=500))
-    per, windows = collections.Counter(), collections.defaultdict(list)
-    for r in out:
-        per[r["doc_id"]] += r["n_tokens"]
-        if r["window_id"] is not None:
-            windows[r["window_id"]].append((r["start"], r["start"] + r["n_tokens"]))
-    assert per == {i: len(t.split()) for i, t in rows if True}
-    for spans in windows.values():
-        spans.sort()
-        assert spans[0][0] == 0 and spans[-1][1] <= 256 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
-    assert sum(per.values()) / (256 * len(windows)) > 0.97
+    rows = [(i, syllables(int(rng.lognormvariate(3, 1)), i)) for i in range(400)] + [(None, "a b"), (None, "a b"), (5, None), (5, "")]
+    df = docs_of(spark, rows).repartition(3)
+    packed = P.pack(df, window=64)
+    windows = check_packed(rows, rows_of(packed), 64)
     assert len({w >> 40 for w in windows}) == 3
+    report = rows_of(P.pack_report(packed, 64))[0]
+    assert report["windows"] == len(windows) and report["filled"] > 0.95
+    assert "Exchange" not in P.pack(docs_of(spark, rows))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pack_odd_cases(spark, odd_docs, no_docs):
     out = rows_of(P.pack(odd_docs))
-    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in rows_of(odd_docs)} and P.pack(no_docs).count() == 0
-    assert all((r["window_id"] is None) == (r["n_tokens"] == 0) for r in out)
-    assert sum(r["n_tokens"] for r in out if r["doc_id"] == 7) == 60_000 * 2 + 9_000
-    assert sum(r["n_tokens"] for r in out if r["doc_id"] == 1) == 5 + 5 + 6
+    assert P.pack(no_docs).count() == 0
+    check_packed([(r["doc_id"], r["text"]) for r in rows_of(odd_docs)], out, P.WINDOW)
+    assert len({r["row_id"] for r in out}) == odd_docs.count()

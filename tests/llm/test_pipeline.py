@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from conftest_llm import docs_of, rows_of
 
 import corpus_pipeline as P
+from weftgraph.llm import huffman as H
 from weftgraph.llm import queries
 
 
@@ -32,11 +34,13 @@ def test_stages_take_effect(spark, tmp_path, syllables):
     assert ids["exact_dedup"] == sorted(r[0] for r in rows if r[0] < 1000 or 2000 <= r[0] < 3000)
     assert ids["near_dedup"] == list(range(200))
     assert set(ids["mixing"]) <= set(range(200)) and len(ids["mixing"]) != len(set(ids["mixing"]))
+    enc = H.encoder(H.load_ranks(H.VOCABULARY))
     packed = {}
-    for r in seen["packing"]:
-        packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["n_tokens"]
-    assert packed == {i: 80 * ids["mixing"].count(i) for i in set(ids["mixing"])}
-    key = lambda r: (r["doc_id"], r["window_id"], r["start"])
+    for r in sorted(seen["packing"], key=lambda r: (r["row_id"], r["piece"])):
+        packed.setdefault((r["doc_id"], r["row_id"]), []).extend(np.frombuffer(r["tokens"], "<u2").tolist())
+    texts = {r[0]: r[1] for r in rows}
+    assert sorted(i for i, _ in packed) == ids["mixing"] and all(enc.decode(t) == texts[i] for (i, _), t in packed.items())
+    key = lambda r: (r["doc_id"], r["piece"], r["tokens"])
     assert sorted(map(key, rows_of(P.run(spark, d)))) == sorted(map(key, seen["packing"]))
 
 

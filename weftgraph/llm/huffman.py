@@ -194,7 +194,7 @@ class Decoder:
 def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids as little-endian 16-bit numbers, or 32-bit ones for vocabularies of more than 65,536."""
     ranks = load_ranks(vocabulary)
-    kind = _kind(len(ranks))
+    kind = id_type(len(ranks))
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +208,13 @@ def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
 
 
-def _kind(n_ids: int) -> str:
+def id_type(n_ids: int) -> str:
     return "<u2" if n_ids <= 2**16 else "<u4"
 
 
 def id_counts(ids: DataFrame, n_ids: int) -> np.ndarray:
     """How often each id occurs; what comes to the driver is bounded by the vocabulary."""
-    kind = _kind(n_ids)
+    kind = id_type(n_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(n_ids, np.int64)
@@ -236,7 +236,7 @@ def huffman(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
     """Rows of kind ``codebook`` and ``block`` as described above."""
     spark = docs.sparkSession
     n_ids = len(load_ranks(vocabulary))
-    kind = _kind(n_ids)
+    kind = id_type(n_ids)
     ids = durable(token_ids(docs, vocabulary, id_col, text_col))
     counts = id_counts(ids, n_ids)
     lengths = code_lengths(counts, max_bits)

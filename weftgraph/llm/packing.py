@@ -1,100 +1,111 @@
 """Packing documents into training windows by the sum-of-squares rule.
 
-Documents arrive one by one. Of the ``window`` possible fill levels an array keeps
-how many open windows stand at each; a piece of ``s`` tokens goes to the level
-``h`` (0 opens a new window) that leaves the sum of the squared counts smallest.
-With N(0) = N(window) = 0 by convention, moving a window from h to h + s changes
-that sum by 2 (N(h + s) - N(h) + 1), or N(h + s) and N(h) alone where the other end
+Documents become token ids of a public byte-pair vocabulary and arrive one by one. Of the
+``window`` possible fill levels an array keeps how many open windows stand at each; a
+piece of ``s`` tokens goes to the level ``h`` (0 opens a new window) that leaves the sum of
+the squared counts smallest. With N(0) = N(window) = 0 by convention, moving a window from h to h + s
+changes that sum by 2 (N(h + s) - N(h) + 1), or N(h + s) and N(h) alone where the other end
 is a new or a full window; ties take the fullest level. A document longer than a
 window fills whole windows first and its remainder is packed like others.
 
-The rule is sequential, so the corpus is cut into shards by a hash of the id, each
-packed on its own: only (id, tokens) rows are shuffled. The number of shards grows
-with the number of documents (``per_shard``), so a shard's size doesn't.
+The rule is online, so a stream is what one task reads: each partition of the input, in the order of its
+rows. Nothing is shuffled and no key decides where a row goes, so no id, source or group of copies can
+be hot; a task keeps the levels and its batch, whatever the table's size. The placement
+follows the partitions of the input (a written table's splits, the same at each reading with the same settings); at
+most the windows that a task leaves open aren't full, which :func:`pack_report` measures.
 
-Cases: a null or empty text has 0 tokens and takes no place (window_id null);
-documents are taken in order of (doc_id, tokens), null ids last; repeated rows
-are placed one after another; an empty table gives an empty result. Extra columns
-are not read.
+The result has one row for each piece, with its token ids (little-endian, 16 bits, or 32 for vocabularies of more than
+65,536): a window is its pieces in order of ``start``, a document its pieces of one ``row_id`` in order of ``piece``.
+``row_id`` numbers the input's rows, so that the copies of a document that mixing emits are told apart.
+
+Cases: a null or empty text has 0 tokens and takes no place (one row, window_id and start null, no ids);
+repeated rows, null ids and ties are rows like others, placed one after another; an empty table gives
+an empty result. A text of any length is packed in whole. Extra columns are not read. Ids are integers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .huffman import VOCABULARY, encoder, id_type, load_ranks, tokenise
 
 WINDOW = 2048
-#: Documents of a shard, on average.
-PER_SHARD = 50_000
-SCHEMA = "doc_id bigint, piece int, window_id bigint, start int, n_tokens int"
-
-
-def pack_sizes(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of each size in turn; sizes are 1 to ``window``."""
-    counts = np.zeros(window + 1, dtype=np.int64)
-    open_at: list[list[int]] = [[] for _ in range(window + 1)]
-    where = np.empty(len(sizes), dtype=np.int64)
-    start = np.empty(len(sizes), dtype=np.int64)
-    opened = 0
-    for i, s in enumerate(sizes.tolist()):
-        if s == window:
-            where[i], start[i] = opened, 0
-            opened += 1
-            continue
-        # change of the sum of squares for h = 0 .. window - s
-        cost = 2 * (counts[s:] - counts[: window - s + 1]) + 2
-        cost[1:][counts[1 : window - s + 1] == 0] = np.iinfo(np.int64).max
-        cost[0] = 2 * counts[s] + 1
-        if counts[window - s]:
-            cost[window - s] = 1 - 2 * counts[window - s]
-        h = len(cost) - 1 - int(np.argmin(cost[::-1]))
+SCHEMA = "row_id bigint, doc_id bigint, piece int, window_id bigint, start int, n_tokens int, tokens binary"
+#: Rows of an output batch, and tokens after which one ends.
+ROWS, TOKENS = 1_000, 1_000_000
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_NAMES = ["row_id", "doc_id", "piece", "window_id", "start", "n_tokens", "tokens"]
+
+
+class Packer:
+    """The level array and the open windows of one stream."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.counts = np.zeros(window + 1, dtype=np.int64)
+        self.open_at: list[list[int]] = [[] for _ in range(window + 1)]
+        self.opened = 0
+
+    def place(self, s: int) -> tuple[int, int]:
+        """(window, start) of a piece of ``s`` tokens, 1 to ``window``."""
+        window, counts = self.window, self.counts
+        h = 0
+        if s < window:
+            # change of the sum of squares for h = 0 .. window - s
+            cost = 2 * (counts[s:] - counts[: window - s + 1]) + 2
+            cost[1:][counts[1 : window - s + 1] == 0] = np.iinfo(np.int64).max
+            cost[0] = 2 * counts[s] + 1
+            if counts[window - s]:
+                cost[window - s] = 1 - 2 * counts[window - s]
+            h = len(cost) - 1 - int(np.argmin(cost[::-1]))
         if h == 0:
-            bin_ = opened
-            opened += 1
+            at, self.opened = self.opened, self.opened + 1
         else:
-            bin_ = open_at[h].pop()
+            at = self.open_at[h].pop()
             counts[h] -= 1
-        where[i], start[i] = bin_, h
         if h + s < window:
             counts[h + s] += 1
-            open_at[h + s].append(bin_)
-    return where, start
-
-
-def _pack_shard(key: tuple[pa.Scalar, ...], tab: pa.Table, window: int) -> pa.Table:
-    order = np.lexsort((tab["n_tokens"].to_numpy(), tab["doc_id"].fill_null(0).to_numpy(), tab["doc_id"].is_null().to_numpy()))
-    tab = tab.take(pa.array(order))
-    tokens = tab["n_tokens"].to_numpy()
-    pieces = -(-tokens // window)  # a document of n tokens in so many pieces, the last one partial
-    row = np.repeat(np.arange(len(tokens)), np.maximum(pieces, 1))
-    first = np.concatenate(([0], np.cumsum(np.maximum(pieces, 1))[:-1])) if len(tokens) else np.zeros(0, np.int64)
-    piece = np.arange(len(row)) - first[row]
-    size = np.minimum(window, tokens[row] - piece * window)
-    live = size > 0
-    where, start = np.full(len(row), -1, np.int64), np.zeros(len(row), np.int64)
-    where[live], start[live] = pack_sizes(size[live], window)
-    ids = (int(key[0].as_py()) << 40) + where
-    return pa.table(
-        {
-            "doc_id": tab["doc_id"].combine_chunks().take(pa.array(row)),
-            "piece": pa.array(piece.astype(np.int32)),
-            "window_id": pa.array(ids, mask=~live),
-            "start": pa.array(start.astype(np.int32), mask=~live),
-            "n_tokens": pa.array(np.maximum(size, 0).astype(np.int32)),
-        }
-    )
-
-
-def pack(docs: DataFrame, window: int = WINDOW, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, window_id, start, n_tokens): where each piece of each document lies."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_count(F.col(text_col)).alias("n_tokens"))
-    shards = max(1, -(-docs.select(F.lit(1)).count() // per_shard))  # a count from the Parquet footers
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(lambda key, tab: _pack_shard(key, tab, window), SCHEMA)
+            self.open_at[h + s].append(at)
+        return at, h
+
+
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_id, doc_id, piece, window_id, start, n_tokens, tokens): where each piece of each document lies, and its ids."""
+    ranks = load_ranks(vocabulary)
+    kind = id_type(len(ranks))
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)  # of the vocabulary's size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, packer = encoder(sent.value), Packer(window)
+        base = TaskContext.get().partitionId() << 40
+        row, held, out = 0, 0, []
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = tokenise(enc, text.as_py()).astype(kind)
+                if not len(ids):
+                    out.append((base + row, doc_id, 0, None, None, 0, b""))
+                for piece, at in enumerate(range(0, len(ids), window)):
+                    part = ids[at : at + window]
+                    where, start = packer.place(len(part))
+                    out.append((base + row, doc_id, piece, base + where, start, len(part), part.tobytes()))
+                row, held = row + 1, held + len(ids)
+                if len(out) >= ROWS or held >= TOKENS:
+                    yield full()
+                    held, out = 0, []
+        if out:
+            yield full()
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def pack_report(packed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -105,4 +116,4 @@ def pack_report(packed: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-__all__ = ["PER_SHARD", "WINDOW", "pack", "pack_report", "pack_sizes"]
+__all__ = ["WINDOW", "Packer", "pack", "pack_report"]
