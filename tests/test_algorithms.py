@@ -121,3 +121,21 @@ def test_hits(spark):
     g = graph(spark, [], [("a", "c", "calls"), ("b", "c", "calls"), ("b", "d", "calls")])
     got = {r["id"]: (r["hub"], r["authority"]) for r in C.hits(g.edges, 20).collect()}
     assert max(got, key=lambda k: got[k][0]) == "b" and max(got, key=lambda k: got[k][1]) == "c" and got["c"][0] == 0
+
+
+def test_star_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(64)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["label"] for r in T.star_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in parent if any(find(y) == find(x) and y != x for y in parent)}
+    assert T.star_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

@@ -3,22 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # folders of our own, by application
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset and the master is this machine a folder of our own is made; a cluster
+    without the setting is an error, since its workers don't see each other's folders.
+    """
     sc = spark.sparkContext
-    set_already = sc._jsc.sc().getCheckpointDir()
-    if not set_already.isEmpty():
-        return set_already.get()
-    folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftgraph-")
-    sc.setCheckpointDir(folder)
-    return folder
+    named = spark.conf.get(SETTING, None) or sc.getConf().get(SETTING)
+    if named:
+        return named.rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError(f"{SETTING} must name a folder that all machines of the cluster share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="weftgraph-")
+    return _own[sc.applicationId]
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there by all that follows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder as Parquet and read from there by all that follows.
+
+    Unlike a checkpoint's rows, a written table has its true size: the planner of the
+    next step broadcasts a small frontier instead of shuffling what it is joined with.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of steps that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,9 +1,9 @@
 """Breadth-first and depth-first traversal, shortest paths, neighbours and components.
 
-A traversal is a loop over levels: the frontier (small, by its measured statistics the
-side that the planner may broadcast) is joined with the edges, ids already seen are
-removed by an anti-join, and each level is written to the shared folder. The loop
-ends with the depth asked for or an empty frontier; nothing but counts reaches the driver.
+A traversal is a loop over levels: the frontier is joined with the edges, ids already seen are
+removed by an anti-join, and each level is written to the shared folder as a table, whose
+size the planner then knows: it broadcasts a small frontier, and the edges aren't
+shuffled. The loop ends with the depth asked for or an empty frontier; nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -134,28 +134,39 @@ def neighbors(g: Graph, node_id: str, direction: str = "both") -> DataFrame:
     return found.join(g.nodes.select("id", "label", "type"), "id").select("id", "label", "type", "edge_type", "direction")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, types: Sequence[str] = ()) -> DataFrame:
-    """(id, component): the smallest id of each id's undirected component, isolated nodes included.
+def star_components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of the connected component of each node of ``edges`` (a, b), two columns of one type.
 
-    Alternating large-star and small-star steps; their number grows with the logarithm of the longest path. A
-    hot id costs a window partition of its distinct neighbours, without text.
+    Alternating large-star and small-star steps (Kiveris et al., 2014); their number grows with the
+    logarithm of the longest path. A node's smallest neighbour is aggregated with a map-side combine and joined
+    back, so a hot node's neighbours never meet in one task; each step is written to the shared folder.
     """
-    e = edges.where(F.col("type").isin(*types)) if types else edges
-    e = saved(e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
-    by_u = Window.partitionBy("u")
+    e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def settled() -> bool:
+        """Every node has one edge at most, and no edge leads to a node that has one."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out > 0 AND into > 0").isEmpty()
 
-    before = state(e)
-    while True:
+    while not settled():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.where("u <> v").withColumn("m", F.min("v").over(by_u))
-        e = saved(low.select("u", F.col("m").alias("v")).union(low.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
-        after = state(e)
-        if after == before:
-            break
-        before = after
-    found = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        large = saved(e.join(low, F.col("v") == F.col("w")).select("u", F.col("m").alias("v")).distinct())
+        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        small = large.join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = saved(small.union(low.select("w", "m")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, types: Sequence[str] = ()) -> DataFrame:
+    """(id, component): the smallest id of each id's undirected component, isolated nodes included.
+
+    Ids are numbered once; the steps of :func:`star_components` move numbers alone.
+    """
+    e = edges.where(F.col("type").isin(*types)) if types else edges
+    e = saved(e.where("src <> dst").select("src", "dst").distinct())
+    ids = saved(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("n", F.monotonically_increasing_id()))
+    numbered = e.join(ids.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
+    found = saved(ids.join(star_components(numbered.select("a", "b")), F.col("n") == F.col("node")).select("id", "label"))
+    first = found.groupBy("label").agg(F.min("id").alias("component"))
+    return nodes.select("id").join(found.join(first, "label").select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
