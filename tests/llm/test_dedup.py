@@ -183,21 +183,3 @@ def test_near_odd_cases(spark, odd_docs, no_docs):
     kept = N.drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 3
     assert N.near_duplicates(no_docs).count() == 0 and N.drop_near_duplicates(no_docs).count() == 0
-
-
-def test_components(spark):
-    rng = random.Random(1)
-    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(64)]
-    parent = {x: x for e in edges for x in e}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    got = {r["node"]: r["label"] for r in rows_of(N.components(spark.createDataFrame(edges, "a bigint, b bigint")))}
-    want = {x: find(x) for x in parent if any(find(y) == find(x) and y != x for y in parent)}
-    assert got == want

@@ -7,19 +7,35 @@ import re
 import numpy as np
 import pytest
 from conftest_llm import docs_of, rows_of
+from pyspark.sql import functions as F
 
 from weftgraph.llm import huffman as H
 from weftgraph.llm import mixing as M
 from weftgraph.llm import packing as P
 
 
-def brute_mix(rows, targets, budget):
-    """One sort for each source. rows: (doc_id, text, source)."""
+def brute_cell(t):
+    t = t or ""
+    marks = len(re.findall(r"[!-/0-9:-@\[-`{-~]", t)) / max(len(t), 1)
+    words = t.split(" ")
+    return sum(marks >= b for b in M.MARKS) * (len(M.DISTINCT) + 1) + sum(len(set(words)) / len(words) >= b for b in M.DISTINCT)
+
+
+def brute_mix(rows, targets, budget, labels):
+    """One sort for each source. rows: (doc_id, text, source); labels: (doc_id, quality)."""
+    low = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            low[i] = min(q, low.get(i, 9))
+    kinds = collections.defaultdict(list)
+    for i, t, _ in rows:
+        if i in low:
+            kinds[brute_cell(t)].append(low[i] > 0)
     by = collections.defaultdict(list)
     for i, t, s in rows:
         n = len(re.findall(r"[^ \t\n\r]+", t or ""))
-        marks = len(re.findall(r"[!-/0-9:-@\[-`{-~]", t or ""))
-        w = max(1 - 2 * marks / max(len(t or ""), 1), M.MIN_WEIGHT)
+        found = kinds[brute_cell(t)]
+        w = max((sum(found) + 1) / (len(found) + 2), M.MIN_WEIGHT)
         u = (int(hashlib.md5(f"{M.SEED}:{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
         by[s].append((-math.log(u) / w, i is None, i or 0, n))
     totals = {s: sum(x[3] for x in v) for s, v in by.items()}
@@ -41,11 +57,13 @@ def brute_mix(rows, targets, budget):
 @pytest.mark.parametrize("targets,budget", [(None, None), ({"a": 1, "b": 3, "c": 0}, None), ({"a": 1.0}, 900), ({"b": 2, "c": 1}, 60_000)])
 def test_mix_against_brute_force(spark, syllables, targets, budget):
     rng = random.Random(3)
-    rows = [(i, syllables(rng.randint(0, 80), i) + rng.choice(["", " 12!! 34"]), rng.choice("aaaab" + "c")) for i in range(400)]
+    rows = [(i, syllables(rng.randint(0, 80), i) + rng.choice(["", " 12!! 34", " the the" * 60]), rng.choice("aaaab" + "c")) for i in range(400)]
+    marked = [(i, int(not rows[i][1].endswith("34"))) for i in range(0, 400, 2)] + [(None, 1), (0, 0), (3, None), (9999, 1)]
+    labels = spark.createDataFrame(marked, "doc_id bigint, quality int")
     df = docs_of(spark, rows)
-    got = {(r["doc_id"], r["source"]): r["copies"] for r in rows_of(M.mix_sources(df, targets, budget))}
-    assert got == brute_mix(rows, targets, budget)
-    emitted = M.mixed_documents(df, targets=targets, budget=budget)
+    got = {(r["doc_id"], r["source"]): r["copies"] for r in rows_of(M.mix_sources(df, targets, budget, labels=labels))}
+    assert got == brute_mix(rows, targets, budget, marked)
+    emitted = M.mixed_documents(df, targets=targets, budget=budget, labels=labels)
     assert emitted.columns == df.columns
     assert collections.Counter((r["doc_id"], r["source"]) for r in rows_of(emitted)) == collections.Counter(got)
 
@@ -61,8 +79,10 @@ def test_targets_are_met(spark, syllables):
 def test_quality_weighs(spark):
     good, bad = "plain words of prose here", "1234 !!!! 5678 #### 9999"
     rows = [(i, good if i % 2 else bad, "a") for i in range(2000)]
-    got = rows_of(M.mix_sources(docs_of(spark, rows), {"a": 1}, budget=2500))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    got = rows_of(M.mix_sources(docs_of(spark, rows), {"a": 1}, budget=2500, labels=labels))
     assert len(got) == 500 and sum(r["doc_id"] % 2 for r in got) > 450
+    assert 200 < sum(r["doc_id"] % 2 for r in rows_of(M.mix_sources(docs_of(spark, rows), {"a": 1}, budget=2500))) < 300
 
 
 def test_mix_odd_cases(spark, odd_docs, no_docs):
@@ -75,6 +95,9 @@ def test_mix_odd_cases(spark, odd_docs, no_docs):
     twice = docs_of(spark, [(1, "a b c", "s")] * 4)
     assert M.mixed_documents(twice, targets={"s": 1}).count() == 4
     assert M.mixed_documents(twice, targets={"s": 1}, budget=24).count() == 8
+    assert M.mixed_documents(twice, targets={"s": 1}, budget=23).count() == 4  # equal rows stay together
+    weighed = M.mix_sources(docs_of(spark, [(i, "a b", "s") for i in range(8)]), {"s": 1}, 6, weight=F.when(F.col("doc_id") < 3, 1e6))
+    assert sorted(r["doc_id"] for r in rows_of(weighed)) == [0, 1, 2]
 
 
 def brute_pack(sizes, window):

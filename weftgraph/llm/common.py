@@ -2,39 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
+
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (single-machine tests) a folder of our own is made.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        own = tempfile.mkdtemp(prefix="weft-checkpoint-")
-        sc.setCheckpointDir(own)
-        return own
-    return current.get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, cutting its lineage.
-
-    Written there, it survives the loss of executors; every later job reads the
-    same rows, also where the plan above isn't deterministic in its row order.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Materialises a table in the shared checkpoint folder, cutting its lineage: it survives the loss of executors.
+durable = saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -223,33 +223,6 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return sent.sortWithinPartitions("hub", (F.col("hub") != F.col("node"))).mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of the connected component of each node of ``edges`` (a, b).
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014); each is a shuffle
-    by node, of edges alone, and is written to the checkpoint folder.
-    """
-    edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    by_u = Window.partitionBy("u")
-
-    def state(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = state(edges)
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.withColumn("m", F.least("u", F.min("v").over(by_u)))
-        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.where("u <> v").withColumn("m", F.min("v").over(by_u))
-        small = low.select("u", F.col("m").alias("v")).union(low.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = durable(small)
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, tag, node, label) of the documents that have shingles; label is null where a content is alone."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))

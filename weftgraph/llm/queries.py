@@ -22,7 +22,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copies")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).select("doc_id", "source", "n_tokens", "copies")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,15 +77,25 @@ def queries() -> dict[str, Query]:
 
 
 OP3_SQL = r"""
-WITH rows AS (
+WITH measured AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS n_tokens,
-    (-ln((('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0))
-      / greatest(1.0 - 2 * coalesce(len(regexp_extract_all(text, '[!-/0-9:-@\[-`{-~]')) / greatest(length(text), 1)::DOUBLE, 0.0), 0.05) AS k
+    len(regexp_extract_all(coalesce(text, ''), '[!-/0-9:-@\[-`{-~]')) / greatest(length(coalesce(text, '')), 1) AS marks,
+    len(list_distinct(string_split(coalesce(text, ''), ' '))) / len(string_split(coalesce(text, ''), ' ')) AS words
   FROM documents),
+celled AS (
+  SELECT *, (SELECT count(*) FROM unnest([0.01::DOUBLE, 0.02, 0.03, 0.04, 0.06, 0.1, 0.2]) AS t(b) WHERE marks >= b) * 5
+    + (SELECT count(*) FROM unnest([0.3::DOUBLE, 0.6, 0.7, 0.9]) AS t(b) WHERE words >= b) AS cell
+  FROM measured),
+known AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+weights AS (SELECT cell, (count(*) FILTER (good) + 1) / (count(*) + 2) AS w FROM celled JOIN known USING (doc_id) GROUP BY cell),
+rows AS (
+  SELECT doc_id, source, n_tokens,
+    (-ln((('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)) / greatest(coalesce(w, 0.5), 0.05) AS k
+  FROM celled LEFT JOIN weights USING (cell)),
 totals AS (SELECT source, sum(n_tokens)::BIGINT AS src_tokens, pow(sum(n_tokens)::DOUBLE, 0.5) AS target FROM rows GROUP BY source),
 plan AS (SELECT source, src_tokens, floor(sum(src_tokens) OVER () * (target / sum(target) OVER ()))::BIGINT AS goal FROM totals),
 placed AS (
-  SELECT doc_id, source, n_tokens, sum(n_tokens) OVER (PARTITION BY source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM rows)
+  SELECT doc_id, source, n_tokens, sum(n_tokens) OVER (PARTITION BY source ORDER BY k, doc_id)::BIGINT AS run FROM rows)
 SELECT doc_id, p.source, n_tokens, (goal // src_tokens + CASE WHEN run <= goal % src_tokens THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM placed p JOIN plan q ON p.source IS NOT DISTINCT FROM q.source
 WHERE src_tokens > 0 AND goal // src_tokens + CASE WHEN run <= goal % src_tokens THEN 1 ELSE 0 END > 0
