@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest_llm import docs_of, rows_of
+from pyspark.sql import functions as F
 
 from weftgraph.llm import exact_dedup as E
 from weftgraph.llm import line_dedup as L
@@ -19,16 +20,32 @@ def key(x):
 
 def test_exact_against_brute_force(spark, syllables):
     rng = random.Random(2)
-    base = [syllables(rng.randint(1, 30), i) for i in range(40)]
+    base = [syllables(rng.randint(1, 30), i) for i in range(40)] + [syllables(40, 99) + f" template {i}" for i in range(9)]
     rows = [(i, rng.choice(["", " ", "\n"]) + rng.choice(base).replace(" ", rng.choice([" ", "  ", "\n"]))) for i in rng.sample(range(10_000), 300)]
+    rows += [(20_000 + i, base[0] if i % 2 else base[1] + " ") for i in range(200)]
+    rows += [(None, base[0]), (5, base[0]), (5, base[0]), (7, None), (8, None), (None, None)]
     groups = collections.defaultdict(list)
     for i, t in rows:
-        groups[" ".join(t.split())].append(i)
-    want = {i: min(groups[" ".join(t.split())]) for i, t in rows}
-    got = rows_of(E.exact_duplicates(docs_of(spark, rows)))
-    assert {r["doc_id"]: r["canonical_id"] for r in got} == want
-    assert all(r["is_duplicate"] == (r["doc_id"] != r["canonical_id"]) for r in got)
-    assert sorted(r["doc_id"] for r in rows_of(E.drop_exact_duplicates(docs_of(spark, rows)))) == sorted(set(want.values()))
+        groups[t if t is None else " ".join(t.split())].append(i)
+    first = {t: min(x for x in v if x is not None) for t, v in groups.items()}
+    want = sorted((key(i), key(i if t is None else first[" ".join(t.split())])) for i, t in rows)
+    df = docs_of(spark, rows)
+    for least in (E.HOT_COUNT, 20, 10_000):  # two hot groups, many, none
+        assert len(E.hot_groups(df, least=least)) == {20: 2, 10_000: 0}.get(least, 2)
+        got = rows_of(E.exact_duplicates(df, least=least))
+        assert sorted((key(r["doc_id"]), key(r["canonical_id"])) for r in got) == want
+        stay = sorted([key(x) for t, x in first.items() if t is not None] + [key(i) for i in groups[None]])
+        assert sorted(key(r["doc_id"]) for r in got if not r["is_duplicate"]) == stay
+        assert sorted(key(r["doc_id"]) for r in rows_of(E.drop_exact_duplicates(df, least=least))) == stay
+
+
+def test_exact_nulls_and_templates_spread(spark, syllables):
+    head = syllables(60, 7)
+    docs = docs_of(spark, [(i, None) for i in range(4000)] + [(10_000 + i, f"{head} {i} {head}") for i in range(4000)]).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    sizes = [r["count"] for r in rows_of(E.drop_exact_duplicates(docs).where("text IS NOT NULL").groupBy(F.spark_partition_id()).count())]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 4000 and max(sizes) < 2000
 
 
 def test_exact_odd_cases(spark, odd_docs, no_docs):
@@ -175,6 +192,65 @@ def test_near_large_group_of_variants(spark, syllables):
     assert sum(not r["is_duplicate"] for r in got) == 51 and {r["group_id"] for r in got if r["doc_id"] < 800} == {0}
 
 
+def test_near_pages_of_one_template(spark, syllables, monkeypatch):
+    """Unlike pages that share a bucket through their template aren't compared with each other, and links among them are found."""
+    rng = random.Random(12)
+    frame = syllables(70, 1)
+    rows = [(i, f"{frame} {syllables(80, 100 + i)}") for i in range(300)]
+    for i in range(40):
+        w = rows[i][1].split()
+        rows.append((1000 + i, " ".join(x if k < 70 or rng.random() > 0.04 else f"n{k}" for k, x in enumerate(w))))
+    compared, real = [], N.verify
+    monkeypatch.setattr(N, "verify", lambda pairs, *a: (compared.append(pairs.count()), real(pairs, *a))[1])
+    got = {r["doc_id"]: r["group_id"] for r in rows_of(N.near_duplicates(docs_of(spark, rows)))}
+    assert sum(compared) < 10 * len(rows)
+    group, pairs = brute_groups(rows)
+    linked = [got[rows[x][0]] == got[rows[y][0]] for x, y in pairs]
+    assert len(pairs) >= 35 and sum(linked) >= 0.9 * len(pairs)
+    assert all(group[x] == group[y] for x, y in itertools.combinations(range(len(rows)), 2) if got[rows[x][0]] == got[rows[y][0]])
+
+
+def test_prefixes_lose_no_pair(syllables):
+    rng = random.Random(3)
+    base = syllables(60, 5).split()
+    texts = [" ".join(x if rng.random() > p else f"z{rng.randint(0, 30)}" for x in base) + " a b c" * rng.randint(0, 9) for p in (0, 0.05, 0.1, 0.2, 0.3) for _ in range(8)]
+    sets = [multiset(t) for t in texts]
+    order = np.array(random.Random(4).choices(range(50), k=N.SLOTS))
+    doc, item, size = N.prefixes(pa.array(texts), order)
+    assert {d: n for d, n in zip(doc.tolist(), size.tolist())} == {i: sum(m.values()) for i, m in enumerate(sets)}
+    own = [set(item[doc == i].tolist()) for i in range(len(texts))]
+    alike = [(x, y) for x, y in itertools.combinations(range(len(texts)), 2) if jaccard(sets[x], sets[y]) >= N.THRESHOLD]
+    assert len(alike) > 50 and all(own[x] & own[y] for x, y in alike)
+
+
+def test_verify_salts_hubs(spark, syllables):
+    texts = [syllables(30, 1) + f" tail {i}" for i in range(50)] + [syllables(30, 100 + i) for i in range(50)]
+    nodes = spark.createDataFrame([(i, 1000 + i, i) for i in range(100)], "node bigint, doc_id bigint, tag bigint")
+    docs = spark.createDataFrame([(1000 + i, i, t) for i, t in enumerate(texts)], "doc_id bigint, tag bigint, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 100)] + [(7, 9), (60, 70)], "a bigint, b bigint")
+    assert sorted((r["a"], r["b"]) for r in rows_of(N.verify(pairs, nodes, docs, 9))) == [(0, i) for i in range(1, 50)] + [(7, 9)]
+
+
+def test_signatures_dont_depend_on_batches(syllables):
+    texts = [syllables(5 * i, i) + " a b" * i for i in range(60)]
+    whole = N.band_hashes(N.bag_minhash(*N.shingles(pa.array(texts)), len(texts)))
+    for i, t in enumerate(texts):
+        alone = N.bag_minhash(*N.shingles(pa.array([t])), 1)
+        assert (N.band_hashes(alone)[0] == whole[i]).all()
+
+
+def test_words_in_segments(monkeypatch):
+    from weftgraph.llm import textvec as V
+
+    rng = random.Random(6)
+    texts = pa.array(["".join(rng.choices(["a", "bc", "é", " ", "\n", "_", "9", "!"], k=rng.randint(0, 60))) for _ in range(80)] + [None, "", "x" * 500])
+    h, at = V.words(texts)
+    for size in (1, 3, 17, 64):
+        monkeypatch.setattr(V, "SEGMENT", size)
+        h2, at2 = V.words(texts)
+        assert (h == h2).all() and (at == at2).all()
+
+
 def test_near_odd_cases(spark, odd_docs, no_docs):
     got = rows_of(N.near_duplicates(odd_docs))
     assert len(got) == odd_docs.count()

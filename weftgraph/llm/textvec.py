@@ -67,23 +67,45 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+#: Bytes that are hashed at once, for which some fifty times their memory is needed.
+SEGMENT = 1_000_000
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word in text order, index of each text's first word with the end appended)."""
+    """(hash of each word in text order, index of each text's first word with the end appended).
+
+    Long inputs are worked through in segments that begin between words, so that a text of any length needs memory for
+    its bytes and its words' hashes alone.
+    """
     data, off = utf8(pc.utf8_lower(texts.cast(pa.large_string())))
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    hashes, starts, at = [], [], 0
+    while at < n:
+        end = at + SEGMENT
+        while end < n and _WORD[data[end]]:  # on to the next byte that ends a word
+            gap = np.flatnonzero(~_WORD[data[end : end + SEGMENT]])
+            end = end + int(gap[0]) if len(gap) else end + SEGMENT
+        end = min(end, n)
+        h, s = _segment(data[at:end], off[np.searchsorted(off, at, side="right") : np.searchsorted(off, end)] - at)
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), off)
+
+
+def _segment(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the words of a segment that no word crosses; texts begin at ``edge``."""
+    n = len(data)
     word = _WORD[data]
     inner = word[1:] & word[:-1]
-    edge = off[1:-1]
-    edge = edge[(edge > 0) & (edge < n)]
-    inner[edge - 1] = False  # a word never spans two texts
+    inner[edge[(edge > 0) & (edge < n)] - 1] = False  # a word never spans two texts
     starts = np.flatnonzero(word & ~np.concatenate(([False], inner)))
     ends = np.flatnonzero(word & ~np.concatenate((inner, [False]))) + 1
     power, inverse = _powers(n + 1)
     total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[data] * power[:n], dtype=np.uint64)))
-    hashes = mix64((total[ends] - total[starts]) * inverse[starts])
-    return hashes, np.searchsorted(starts, off)
+    return mix64((total[ends] - total[starts]) * inverse[starts]), starts
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
