@@ -2,6 +2,7 @@ import collections
 import heapq
 import itertools
 import json
+import math
 import random
 import re
 
@@ -38,16 +39,39 @@ def brute_scores(rows):
     rows_ = np.array([(k[0], v[1] / v[0], v[2] / v[0], v[0]) for k, v in sorted(cells.items())]).reshape(-1, 4)
     weights = L.learn_weights(rows_, 1 / max(1, len(a1)))
     out = []
+    n_all = sum(a1.values())
     for w, (i, _, _) in zip(tok, rows):
         if not w:
             out.append((i, 0, None))
             continue
         b = list(zip([None, *w], [*w, None]))
-        lp = L.log_probs(arr(a2, b), arr(a1, [x[0] for x in b]), arr(a1, [x[1] for x in b]), sum(a1.values()), len(a1), weights)
-        out.append((i, len(b), lp.sum()))
+        o1, o2, lp = collections.Counter([*w, None]), collections.Counter(b), 0.0
+        for v, x in b:  # all counts less the text's own
+            c2, cv, cw = a2[(v, x)] - o2[(v, x)], a1[v] - o1[v], a1[x] - o1[x]
+            lam = weights[min(L.BUCKETS - 1, cv.bit_length())]
+            lp += math.log(max(lam[0] / len(a1) + lam[1] * (cw / (n_all - len(b)) if n_all > len(b) else 0) + lam[2] * (c2 / cv if cv else 0), 1e-300))
+        out.append((i, len(b), lp))
     return out
 
 
+def test_weights_by_plain_expectation_maximisation():
+    rng = random.Random(2)
+    for _ in range(5):
+        seen = [(rng.random() / 50, rng.choice([0, rng.random()]), rng.randint(1, 9)) for _ in range(40)]  # p(word), p(word | context), count
+        lam, p1 = [1 / 3] * 3, 0.001
+        for _ in range(1000):
+            part = [[n * a * b / sum(x * y for x, y in zip(lam, (p1, p2, p3))) for a, b in zip(lam, (p1, p2, p3))] for p2, p3, n in seen]
+            lam = [sum(c) / sum(n for *_, n in seen) for c in zip(*part)]
+        got = L.learn_weights(np.array([(4, p2, p3, n) for p2, p3, n in seen]), p1)
+        assert got[4] == pytest.approx(lam, abs=1e-4) and got[3] == pytest.approx(lam, abs=1e-4)  # an unseen bucket has the weights of all
+
+
+def test_repeating_itself_doesnt_help(spark, syllables):
+    rows = [(i, syllables(40, i)) for i in range(200)] + [(900, "qua qua que que " * 40), (901, syllables(160, 5000))]
+    got = {r["doc_id"]: r["perplexity"] for r in rows_of(L.lm_scores(docs_of(spark, rows)))}
+    assert got[900] > got[901]
+
+
 @pytest.mark.parametrize("shards", [1, 7])
 def test_lm_against_brute_force(spark, syllables, shards, monkeypatch):
     rng = random.Random(1)

@@ -8,9 +8,8 @@ for the first):
 where b is the bucket of the context's frequency c(v), by powers of two. The mixture
 weights of each bucket are learned by expectation-maximisation on held-out counts:
 documents whose id hashes to one residue of ``HELD_OUT`` are held out, the estimates
-come from the others. The scores then use the counts of all documents, each word
-being deleted from the counts that predict it (c - 1), so that a text isn't
-scored by its own words.
+come from the others. The scores then use the counts of all documents less all that the text itself
+has of them, so that a text isn't scored by its own words, however often it repeats them.
 
 Nothing is sampled or pruned, and no model is broadcast. The table is cut in blocks of about ``CHUNK``
 bytes of text; a block is kept as its word indices and 64-bit word
@@ -18,13 +17,15 @@ hashes. Each block sends its distinct words and word pairs, with counts, to the
 shards that own their hashes, and each shard answers each block with the
 corpus-wide counts in the order of the question. A frequent pair thus costs one entry a
 block, wherever it occurs, and no key is hot. What is gathered grows with the corpus;
-it is spread over the shards, whose number follows ``spark.sql.shuffle.partitions``.
+it is spread over the shards, of about ``SHARD`` words each, so that a shard's size doesn't grow. The number of
+messages is that of blocks times that of shards: for a corpus of hundreds of terabytes give a larger ``chunk`` and
+fewer ``shards``, as the workers' memory allows (some fifteen times a block's bytes, thirty bytes for each word of a shard).
 
 Cases: a null, empty or wordless text isn't counted and has n_tokens 0 and null
 scores; repeated rows count as often as they occur and give repeated rows; an
 empty table gives an empty result; without held-out documents, or with a bucket that none of
 their contexts fall in, the weights are those of all buckets together, or equal ones.
-Extra columns, also of clashing names, aren't read. A text of any length is scored in whole.
+Extra columns, also of clashing names, aren't read. A text of any length is scored in whole, as one block. Ids are integers.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ from .textvec import chunks, combine, mix64, words
 HELD_OUT = 10
 BUCKETS = 32
 CHUNK = 8_000_000
-#: Bytes of text that are hashed at once, for which a worker needs some fifty times their memory.
-PIECE = 1_000_000
+#: Words of a shard, on average.
+SHARD = 2_000_000
 #: Cells of the held-out histogram for each power of two of a relative frequency.
 CELLS = 4
 EDGE = np.uint64(0xA0761D6478BD642F)  # the start and the end of a text
@@ -69,22 +70,25 @@ def _open(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, task = 0, TaskContext.get().partitionId()
-    for batch in batches:
-        for part in chunks(batch, "text", CHUNK):
-            found = [words(x.column("text")) for x in chunks(part, "text", PIECE)]
-            h, sizes = np.concatenate([x for x, _ in found]), np.concatenate([np.diff(b) for _, b in found])
-            held = part.column("held").to_numpy(zero_copy_only=False)
-            vocab, idx = np.unique(h, return_inverse=True)
-            for flag in (False, True):
-                mine = np.flatnonzero((held == flag) & (sizes > 0))
-                if len(mine):
-                    chosen = np.repeat((held == flag) & (sizes > 0), sizes)
-                    used, local = np.unique(idx[chosen], return_inverse=True)
-                    row = [f"{task}-{number}"], [flag], [part.column("doc_id").take(pa.array(mine)).to_pylist()], [sizes[mine].tolist()], [_squeeze(vocab[used])], [_squeeze(local.astype(np.uint32))]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()))], names=["block", "held", "ids", "sizes", "vocab", "words"])
-                    number += 1
+def _index(chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, task = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for part in chunks(batch, "text", chunk):
+                h, bounds = words(part.column("text"))
+                sizes = np.diff(bounds)
+                held = part.column("held").to_numpy(zero_copy_only=False)
+                vocab, idx = np.unique(h, return_inverse=True)
+                for flag in (False, True):
+                    mine = np.flatnonzero((held == flag) & (sizes > 0))
+                    if len(mine):
+                        chosen = np.repeat((held == flag) & (sizes > 0), sizes)
+                        used, local = np.unique(idx[chosen], return_inverse=True)
+                        row = [f"{task}-{number}"], [flag], [part.column("doc_id").take(pa.array(mine)).to_pylist()], [sizes[mine].tolist()], [_squeeze(vocab[used])], [_squeeze(local.astype(np.uint32))]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()))], names=["block", "held", "ids", "sizes", "vocab", "words"])
+                        number += 1
+
+    return run
 
 
 class Block:
@@ -118,6 +122,19 @@ class Block:
         c[self.order] = answer
         return c[self.n_words :], c[self.v], c[self.w]
 
+    def by_text(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, pair, own c(v, w), own c(v), own c(w)) of each distinct pair of each text, and which of them each prediction is."""
+        text = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.of_token))))
+        n_pairs, n_words = len(self.v), self.n_words
+        key, which, own = np.unique(text * n_pairs + self.of_token, return_inverse=True, return_counts=True)
+        text, pair = key // n_pairs, key % n_pairs
+        # a word is as often a context as it is a word, and each text has one start and one end
+        of_word = text * n_words + self.w[pair]
+        order = np.argsort(of_word, kind="stable")
+        names, at = np.unique(of_word[order], return_index=True)
+        sums = np.add.reduceat(own[order], at)
+        return text, pair, own, sums[np.searchsorted(names, text * n_words + self.v[pair])], sums[np.searchsorted(names, of_word)], which
+
 
 def _block(row: dict) -> Block:
     return Block(np.asarray(row["sizes"], np.int64), row["vocab"], row["words"])
@@ -156,8 +173,8 @@ def _answer(key: tuple, asked: pa.Table) -> pa.Table:
     group[order] = np.cumsum(new) - 1
     total, kept = np.add.reduceat(counts[order], first), np.add.reduceat(train[order], first)
     cut = np.concatenate(([0], np.cumsum(sizes)))
-    every = [_squeeze(np.minimum(total[group[a:z]], 2**32 - 1).astype(np.uint32)) for a, z in zip(cut[:-1], cut[1:])]
-    of_train = [_squeeze(np.minimum(kept[group[a:z]], 2**32 - 1).astype(np.uint32)) if h else None for a, z, h in zip(cut[:-1], cut[1:], held)]
+    every = [_squeeze(total[group[a:z]]) for a, z in zip(cut[:-1], cut[1:])]
+    of_train = [_squeeze(kept[group[a:z]]) if h else None for a, z, h in zip(cut[:-1], cut[1:], held)]
     single = (sorted_keys[first] & ONE) == 0
     shard = key[0].as_py()
     n = len(sizes)
@@ -221,26 +238,28 @@ def held_out_cells(c2: np.ndarray, cv: np.ndarray, cw: np.ndarray, n: np.ndarray
     return {(int(k) >> 24, (int(k) >> 12) & 4095, int(k) & 4095): (float(a), float(b), float(c)) for k, a, b, c in zip(u, *sums)}
 
 
-def log_probs(c2: np.ndarray, cv: np.ndarray, cw: np.ndarray, tokens: int, types: int, weights: np.ndarray) -> np.ndarray:
-    """ln p of each pair, one occurrence of it deleted from all counts."""
-    lam = weights[bucket(cv - 1)]
-    p = lam[:, 0] / types + lam[:, 1] * ratio(cw - 1, np.full(len(cw), tokens - 1.0)) + lam[:, 2] * ratio(c2 - 1, cv - 1)
+def log_probs(c2: np.ndarray, cv: np.ndarray, cw: np.ndarray, tokens: np.ndarray, types: int, weights: np.ndarray) -> np.ndarray:
+    """ln p of each pair from the counts of the other texts."""
+    lam = weights[bucket(cv)]
+    p = lam[:, 0] / types + lam[:, 1] * ratio(cw, tokens) + lam[:, 2] * ratio(c2, cv)
     return np.log(np.maximum(p, 1e-300))
 
 
 def _assembled(answers: pa.Table, column: str) -> np.ndarray:
     order = np.argsort(answers["shard"].to_numpy())
     col = answers[column].combine_chunks()
-    return np.concatenate([_open(col[int(i)].as_py(), np.uint32) for i in order]).astype(np.float64)
+    return np.concatenate([_open(col[int(i)].as_py(), np.int64) for i in order]).astype(np.float64)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity), one row for each document; n_tokens counts the text's end."""
     spark = docs.sparkSession
-    shards = shards or 2 * shuffle_partitions(spark)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    index = durable(base.where("text is not null").select("doc_id", "text", held.alias("held")).mapInArrow(_index, INDEX))
+    index = durable(base.where("text is not null").select("doc_id", "text", held.alias("held")).mapInArrow(_index(chunk), INDEX))
+    if shards is None:
+        n_words = index.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda n, x: n + x))).first()[0] or 0
+        shards = max(2 * shuffle_partitions(spark), -(-n_words // SHARD))
     answers = durable(index.mapInArrow(_ask(shards), QUESTION).groupBy("shard").applyInArrow(_answer, ANSWER))
     sums = answers.where("block is null").agg(F.sum("types"), F.sum("tokens"), F.sum("train_tokens")).first()
     types, tokens, train_tokens = (int(x or 0) for x in sums)
@@ -265,9 +284,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         out = []
         for row in block.to_pylist():
             b = _block(row)
-            lp = log_probs(*b.looked_up(_assembled(reply, "all_counts")), tokens, types, weights)
-            total = np.add.reduceat(lp[b.of_token], b.first)
             n = np.asarray(row["sizes"], np.int64) + 1
+            c2, cv, cw = b.looked_up(_assembled(reply, "all_counts"))
+            text, pair, own2, own_v, own_w, which = b.by_text()
+            lp = log_probs(c2[pair] - own2, cv[pair] - own_v, cw[pair] - own_w, float(tokens) - n[text], types, weights)
+            total = np.add.reduceat(lp[which], b.first)
             out.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(n), "log_prob": pa.array(total), "perplexity": pa.array(np.exp(np.minimum(-total / n, 700)))}))
         return pa.concat_tables(out)
 
