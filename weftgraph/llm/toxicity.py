@@ -8,7 +8,8 @@ documents of the fit (:func:`_fit`). Terms and stems form one trie; the product
 Levenshtein automata is determinised once on the driver to a table of states times
 character classes. Workers run that table over all words of a batch at once with
 NumPy. Characters are folded first: case, digits and signs that stand for letters,
-letters repeated more than twice and, for terms but not for stems, accents.
+letters repeated more than twice and, for terms but not for stems, accents. A letter
+beyond the Latin blocks is a class of its own if the lexicon has it.
 
 Each hit starts from 1 for an exact match and less for each edit, least where one edit gives an ordinary
 word (``ORDINARY``). Its context, a window of
@@ -26,7 +27,7 @@ Cases: a null or empty text has no hits and score 0; repeated rows give repeated
 are null, contradict each other (any toxic label counts) or have no document are
 harmless; without labels or with an empty table the built-in terms alone are used.
 Extra columns, also of clashing names, aren't read by :func:`toxicity` and pass
-through :func:`drop_toxic`.
+through :func:`drop_toxic`. A text of any length is scored in whole. Ids are integers.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,6 +66,9 @@ SKETCH, ALIKE, COMMON = 32, 0.25, 50
 STEM = (4, 12)
 STEM_EDIT = 6
 CHUNK = 4_000_000
+#: Characters that are classified at once.
+PIECE = 2_000_000
+GAP = re.compile("[ \\t\\r\\n]")
 SCHEMA = "doc_id bigint, hits int, score double, toxic boolean, terms array<string>"
 
 OPEN_QUOTE = re.compile(r'["“”„«»]')
@@ -97,18 +101,37 @@ def _classes() -> tuple[np.ndarray, list[int]]:
 CLASS, BARE = _classes()
 
 
-def classes(cps: np.ndarray) -> np.ndarray:
-    out = CLASS[np.minimum(cps, _TABLE - 1)]
-    far = cps >= _TABLE
-    if far.any():
-        x = cps[far]
-        out[far] = np.where(((x >= 0x2000) & (x < 0x2070)) | ((x >= 0x3000) & (x < 0x3040)) | (x == 0xFEFF), 0, OTHER)
+def far_letters(words: Iterable[str]) -> np.ndarray:
+    """The letters of the words that CLASS doesn't have, in lower case and in order."""
+    return np.array(sorted({ord(c) for w in words for c in w.lower() if ord(c) >= _TABLE and c.isalnum()}), np.uint32)
+
+
+def classes(cps: np.ndarray, far: np.ndarray = np.zeros(0, np.uint32)) -> np.ndarray:
+    """The class of each code point; a letter of ``far`` has the one after the bare classes, by its place there."""
+    out = CLASS[np.minimum(cps, _TABLE - 1)].astype(np.uint16)
+    away = cps >= _TABLE
+    if away.any():
+        x = cps[away]
+        got = np.where(((x >= 0x2000) & (x < 0x2070)) | ((x >= 0x3000) & (x < 0x3040)) | (x == 0xFEFF), 0, OTHER)
+        for i, c in enumerate(far.tolist()):
+            got[(x == c) | (x == ord(chr(c).upper()[:1]))] = len(BARE) + i
+        out[away] = got
+    return out
+
+
+def runs(cps: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Marks a letter that comes after two of its kind; letters of class OTHER are of one kind only if they are the same."""
+    out = np.zeros(len(cls), bool)
+    same = (cls[1:] == cls[:-1]) & (cls[1:] > 0) & ((cls[1:] != OTHER) | (cps[1:] == cps[:-1]))
+    out[2:] = same[1:] & same[:-1]
     return out
 
 
-def fold(word: str) -> list[int]:
-    """The classes of a word's letters."""
-    return [c for c in classes(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")).tolist() if c]
+def fold(word: str, far: np.ndarray | None = None) -> list[int]:
+    """The classes of a word's letters, as a text's are taken."""
+    cps = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+    cls = classes(cps, far_letters([word]) if far is None else far)
+    return [c for c in cls[~runs(cps, cls)].tolist() if c]
 
 
 def edits(term: str | list[int]) -> int:
@@ -131,6 +154,7 @@ class Automaton:
     stem: np.ndarray
     stem_edits: np.ndarray
     weight: np.ndarray
+    far: np.ndarray
 
 
 Stems = tuple[str, ...] | dict[str, float]  # a dict has the weight of each stem's hits
@@ -138,7 +162,9 @@ Stems = tuple[str, ...] | dict[str, float]  # a dict has the weight of each stem
 
 def build(terms: tuple[str, ...] = TERMS, stems: Stems = (), exact: frozenset[str] = frozenset()) -> Automaton:
     """``exact`` has the stems that get no edits whatever their length."""
-    names = [fold(t) for t in terms] + [fold(s) for s in stems]
+    far = far_letters([*terms, *stems])
+    bare = BARE + list(range(len(BARE), len(BARE) + len(far)))
+    names = [fold(t, far) for t in terms] + [fold(s, far) for s in stems]
     allowance = [edits(x) for x in names[: len(terms)]] + [0 if s in exact else stem_edits(x) for s, x in zip(stems, names[len(terms) :])]
     # node 0 is the root of the terms, node 1 that of the stems
     kids: list[dict[int, int]] = [{}, {}]
@@ -150,7 +176,7 @@ def build(terms: tuple[str, ...] = TERMS, stems: Stems = (), exact: frozenset[st
         allowed = allowance[i]
         at = int(of_stem)
         fuzzy[at] = max(fuzzy[at], allowed)
-        for c in name if of_stem else [BARE[c] for c in name]:
+        for c in name if of_stem else [bare[c] for c in name]:
             if c not in kids[at]:
                 kids[at][c] = len(kids)
                 for x, v in ((kids, {}), (end_term, 0), (end_stem, 0), (fuzzy, 0), (stemmed, of_stem)):
@@ -179,13 +205,13 @@ def build(terms: tuple[str, ...] = TERMS, stems: Stems = (), exact: frozenset[st
 
     start = close({(0, 0): 0, (1, 0): 0})
     index: dict[frozenset, int] = {frozenset(): 0, start: 1}
-    queue, rows = [start], [np.zeros(len(BARE), np.int32)]
+    queue, rows = [start], [np.zeros(len(bare), np.int32)]
     while queue:
         state = queue.pop(0)
-        row = np.zeros(len(BARE), np.int32)
+        row = np.zeros(len(bare), np.int32)
         alike: dict[tuple[int, int], int] = {}  # letters that no stem has differ by their bare letter alone
-        for c in range(1, len(BARE)):
-            kind = (BARE[c], c if c in accented else 0)
+        for c in range(1, len(bare)):
+            kind = (bare[c], c if c in accented else 0)
             if kind in alike:
                 row[c] = alike[kind]
                 continue
@@ -195,7 +221,7 @@ def build(terms: tuple[str, ...] = TERMS, stems: Stems = (), exact: frozenset[st
                 if e <= fuzzy[node] and nxt.get((node, pending), 9) > e:
                     nxt[(node, pending)] = e
 
-            b = BARE[c]
+            b = bare[c]
             for node, pending, e in state:
                 x = c if stemmed[node] else b
                 if pending:  # the second letter of a swap: node is where the swapped pair leads
@@ -226,7 +252,7 @@ def build(terms: tuple[str, ...] = TERMS, stems: Stems = (), exact: frozenset[st
         if best:
             stem_cost[i], stem[i] = best[0], -best[1]
     weight = np.array([1.0] * len(terms) + [stems[s] if isinstance(stems, dict) else 1.0 for s in stems])
-    return Automaton([*terms, *stems], np.stack(rows), word, cost, stem, stem_cost, weight)
+    return Automaton([*terms, *stems], np.stack(rows), word, cost, stem, stem_cost, weight, far)
 
 
 def find(auto: Automaton, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,16 +308,20 @@ def context_score(text: str, begin: int, cost: int, near: int) -> float:
     return score
 
 
-def _matches(auto: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What :func:`find` has for the texts, each of them and one separator after the other."""
+def _matches(auto: Automaton, texts: list[str], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`find` has for the texts, each of them and one separator after the other, a piece between blanks at a time."""
     joined = "\n".join(texts) + "\n"
-    cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    cls = classes(cps)
-    run = np.zeros(len(cls), bool)
-    run[2:] = (cls[2:] == cls[1:-1]) & (cls[2:] == cls[:-2]) & (cls[2:] > 0)
-    keep = np.flatnonzero(~run)
-    start, term, cost = find(auto, cls[keep])
-    return keep[start], term, cost
+    found, at = [], 0
+    while at < len(joined):
+        gap = GAP.search(joined, at + piece)
+        end = gap.end() if gap else len(joined)
+        cps = np.frombuffer(joined[at:end].encode("utf-32-le", "surrogatepass"), "<u4")
+        cls = classes(cps, auto.far)
+        keep = np.flatnonzero(~runs(cps, cls))
+        start, term, cost = find(auto, cls[keep])
+        found.append((keep[start] + at, term, cost))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def score_texts(auto: Automaton, texts: list[str]) -> list[list[tuple[int, int, float]]]:
