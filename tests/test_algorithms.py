@@ -8,6 +8,7 @@ from graphs import graph, rows
 from weftgraph.operators import centrality as C
 from weftgraph.operators import communities as K
 from weftgraph.operators import traversal as T
+from weftgraph.operators.order import numbered
 
 
 def brute_betweenness(ids, pairs):
@@ -110,16 +111,25 @@ def test_louvain_finds_cliques(spark):
     names = {c: [f"{c}{i}" for i in range(6)] for c in "xyz"}
     edges = [(a, b, "calls") for own in names.values() for a, b in itertools.combinations(own, 2)] + [("x0", "y0", "calls"), ("y1", "z1", "calls")]
     g = graph(spark, [(i, "function") for own in names.values() for i in own], edges)
-    found = dict(rows(K.louvain(g, rounds=8, levels=3)))
+    found = dict(rows(K.louvain(g, tolerance=0.0)))
     assert len(set(found.values())) == 3 and all(len({found[i] for i in own}) == 1 for own in names.values())
-    com = K.louvain(g, rounds=8, levels=3)
+    com = K.louvain(g, tolerance=0.0)
     assert K.modularity(g.edges, com).first()[0] > 0.5
     assert [r["cohesion"] for r in K.cohesion(g.edges, com).collect()] == [1.0] * 3
 
+    def value(at):
+        m, vol = len(edges), {}
+        for a, b, _ in edges:
+            for x in (a, b):
+                vol[at[x]] = vol.get(at[x], 0) + 1
+        return sum(at[a] == at[b] for a, b, _ in edges) / m - sum(v * v for v in vol.values()) / (4 * m * m)
+
+    assert all(value(found | {i: c}) <= value(found) for i in found for c in set(found.values()))  # no single move gains
+
 
 def test_hits(spark):
     g = graph(spark, [], [("a", "c", "calls"), ("b", "c", "calls"), ("b", "d", "calls")])
-    got = {r["id"]: (r["hub"], r["authority"]) for r in C.hits(g.edges, 20).collect()}
+    got = {r["id"]: (r["hub"], r["authority"]) for r in C.hits(g.edges).collect()}
     assert max(got, key=lambda k: got[k][0]) == "b" and max(got, key=lambda k: got[k][1]) == "c" and got["c"][0] == 0
 
 
@@ -139,3 +149,11 @@ def test_star_components(spark):
     got = {r["node"]: r["label"] for r in T.star_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in parent if any(find(y) == find(x) and y != x for y in parent)}
     assert T.star_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_numbered(spark):
+    rng = random.Random(2)
+    rows_ = [(rng.randint(0, 50), i) for i in range(500)]
+    df = spark.createDataFrame(rows_, "a int, b int").repartition(7)
+    got = {(r["a"], r["b"]): r["n"] for r in numbered(df, "n", "a", "b").collect()}
+    assert got == {x: i + 1 for i, x in enumerate(sorted(rows_))} and numbered(df.limit(0), "n", "a").count() == 0

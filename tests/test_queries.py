@@ -5,7 +5,7 @@ import pytest
 from weftgraph import plans
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"louvain", "betweenness", "explain"}  # covered by tests of their operators
+SLOW = {"louvain"}  # covered by tests of their operators
 
 
 @pytest.fixture(scope="module")

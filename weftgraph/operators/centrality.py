@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import saved
 from ..model import Graph
+from .order import numbered
 
 
 def betweenness(g: Graph, exclude_edges: Sequence[str] = ("contains",), exclude_nodes: Sequence[str] = ("file", "package"), pivots: int | None = None, halve: bool = False) -> DataFrame:
@@ -60,11 +61,10 @@ def betweenness(g: Graph, exclude_edges: Sequence[str] = ("contains",), exclude_
 
 
 def ranked(scores: DataFrame, top: int | None = None) -> DataFrame:
-    """Adds ``rank`` and ``is_top`` (the best tenth, one at least). The order is global: for whole graphs give ``top``."""
-    n = scores.agg(F.count(F.lit(1)).alias("n"))
+    """Adds ``rank`` and ``is_top`` (the best tenth, one at least)."""
+    n = scores.count()
     first = scores.orderBy(F.desc("score"), "id").limit(top) if top is not None else scores
-    out = first.crossJoin(n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-    return out.withColumn("is_top", F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10))).drop("n")
+    return numbered(first, "rank", F.desc("score"), F.col("id")).withColumn("is_top", F.col("rank") <= max(1, n // 10))
 
 
 def touched_communities(g: Graph, scores: DataFrame, communities: DataFrame) -> DataFrame:
@@ -75,17 +75,25 @@ def touched_communities(g: Graph, scores: DataFrame, communities: DataFrame) ->
     return c.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("community_id")).alias("communities")).where(F.size("communities") >= 2)
 
 
-def hits(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, hub, authority) by power iteration over distinct edges, each vector scaled to length 1."""
+def hits(edges: DataFrame, tolerance: float = 1e-9, rounds: int = 1000) -> DataFrame:
+    """(id, hub, authority) by power iteration over distinct edges, each vector scaled to length 1.
+
+    It ends when no hub score changes by more than ``tolerance``, or after ``rounds``, a bound for graphs whose two largest eigenvalues are equal.
+    """
     e = saved(edges.select("src", "dst").distinct())
 
     def unit(df: DataFrame) -> DataFrame:
-        norm = df.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        return df.crossJoin(norm).select("id", F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(0.0).alias("x"))
+        df = saved(df)
+        norm = df.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        return df.select("id", (F.col("x") / F.lit(norm)).alias("x"))
 
-    hub = e.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0))
+    hub = unit(e.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0)))
     for _ in range(rounds):
-        authority = saved(unit(e.join(hub.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x"))))
-        hub = saved(unit(e.join(authority.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("x"))))
+        before = hub
+        authority = unit(e.join(hub.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x")))
+        hub = unit(e.join(authority.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("x")))
+        change = hub.join(before.withColumnRenamed("x", "was"), "id").agg(F.max(F.abs(F.col("x") - F.col("was")))).first()[0]
+        if change is None or change <= tolerance:
+            break
     a, h = authority.withColumnRenamed("x", "authority"), hub.withColumnRenamed("x", "hub")
     return h.join(a, "id", "full").fillna(0.0, ["hub", "authority"]).select("id", "hub", "authority")

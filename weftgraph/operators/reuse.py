@@ -9,19 +9,25 @@ from ..functions.scalars import is_common_name, normalize_signature
 from ..model import CODE_NODES, DEPENDENCY_EDGES, Graph, attr
 
 
+def _members(own: DataFrame, groups: DataFrame, key: str, top: int | None) -> DataFrame:
+    """``groups`` with the sorted ids of their rows in ``own``; with ``top`` only the largest groups' ids are brought together."""
+    if top is not None:
+        groups = groups.orderBy(F.desc("n"), key).limit(top)
+    ids = own.join(groups.select(key), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("id")).alias("nodes"))
+    return groups.join(ids, key)
+
+
 def similar_signatures(nodes: DataFrame, top: int | None = 20) -> DataFrame:
     """(pattern, n, nodes) of signatures that are equal but for names, most members first."""
-    own = nodes.where(F.col("type").isin(*CODE_NODES) & (attr("signature") != "")).select("id", normalize_signature(attr("signature")).alias("pattern"))
-    groups = own.where("pattern <> ''").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("nodes")).where("n >= 2")
-    return groups if top is None else groups.orderBy(F.desc("n"), "pattern").limit(top)
+    own = nodes.where(F.col("type").isin(*CODE_NODES) & (attr("signature") != "")).select("id", normalize_signature(attr("signature")).alias("pattern")).where("pattern <> ''")
+    return _members(own, own.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"), "pattern", top)
 
 
 def duplicate_names(nodes: DataFrame, top: int | None = 20) -> DataFrame:
     """(name, n, packages, nodes) of labels in two packages at least, common names left out."""
-    own = nodes.where((F.col("label") != "") & ~is_common_name(F.col("label"))).select("id", "label", F.nullif(attr("package"), F.lit("")).alias("package"))
-    groups = own.groupBy(F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("package")).alias("packages"), F.array_sort(F.collect_list("id")).alias("nodes"))
-    groups = groups.where((F.col("n") >= 2) & (F.size("packages") >= 2))
-    return groups if top is None else groups.orderBy(F.desc("n"), "name").limit(top)
+    own = nodes.where((F.col("label") != "") & ~is_common_name(F.col("label"))).select("id", F.col("label").alias("name"), F.nullif(attr("package"), F.lit("")).alias("package"))
+    groups = own.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("package")).alias("packages"))
+    return _members(own, groups.where((F.col("n") >= 2) & (F.size("packages") >= 2)), "name", top).select("name", "n", "packages", "nodes")
 
 
 def shared_dependencies(edges: DataFrame, top: int | None = 10) -> DataFrame:

@@ -53,6 +53,27 @@ def build(nodes: DataFrame) -> Index:
     return Index(docs, split.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def upsert(ix: Index, nodes: DataFrame) -> Index:
+    """The index with these nodes' rows in place of those of the same ids."""
+    new = build(nodes)
+    ids = new.docs.select("id")
+    return Index(ix.docs.join(ids, "id", "left_anti").unionByName(new.docs), ix.postings.join(ids, "id", "left_anti").unionByName(new.postings))
+
+
+def remove(ix: Index, ids: DataFrame) -> Index:
+    """The index without the nodes of these ids (id)."""
+    return Index(ix.docs.join(ids, "id", "left_anti"), ix.postings.join(ids, "id", "left_anti"))
+
+
+def open_or_build(nodes: DataFrame, path: str) -> Index:
+    """The index saved at ``path``; where there is none that was finished, it is built and saved there first."""
+    spark = nodes.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/postings/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build(nodes).save(path)
+    return Index.load(spark, path)
+
+
 def _query_terms(spark: SparkSession, text: str) -> list[str]:
     return sorted(set(spark.range(1).select(terms(F.lit(text)).alias("t")).first()["t"]))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import attr
+from ..model import Graph, attr
 from ..operators import centrality as C
 from ..operators import communities as K
 from ..operators import insights as I
@@ -14,10 +14,11 @@ from ..operators import patterns as D
 from ..operators import reuse as R
 from ..operators import search as X
 from ..operators import traversal as T
+from ..operators.filters import inside
 from ..sinks import cypher, cytoscape, graphml, toon, vault
 from ..sources import projections as P
 from .basics import DEGREES
-from .registry import query
+from .registry import SQL, query
 
 OUT = "SELECT src AS tail, dst AS head, type FROM edges"
 BACK = "SELECT dst AS tail, src AS head, type FROM edges"
@@ -81,7 +82,13 @@ def query_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return T.query_graph(P.commerce(spark, d), "order_12")[1]
 
 
-@query()
+# Each step of a walk from a customer leads one layer down, so that all paths to an id have one length and the first of them is the walk's.
+@query(
+    """walk AS (SELECT id, 0 AS depth, [id] AS path FROM nodes WHERE id = 'customer:3'
+      UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM walk JOIN (SELECT DISTINCT src, dst FROM edges) ON src = id WHERE depth < 3)
+    => SELECT id, min(depth)::INTEGER AS depth, (row_number() OVER (ORDER BY min(path)) - 1)::INTEGER AS position FROM walk GROUP BY id""",
+    recursive=True,
+)
 def dfs_reach(spark: SparkSession, d: str) -> DataFrame:
     return T.dfs(P.commerce(spark, d), "customer:3", 3, "out")
 
@@ -173,9 +180,29 @@ def get_community(spark: SparkSession, d: str) -> DataFrame:
     return K.get_community(P.commerce_communities(spark, d), P.commerce_nodes(spark, d), 2)
 
 
-@query()
+def _forest_sql(kinds: str) -> str:
+    """Containment makes a forest, where every two nodes have one path at most; a path never turns back."""
+    return f"""own AS (SELECT id, label, type FROM nodes WHERE type IN ({kinds})),
+    links AS (SELECT DISTINCT src AS a, dst AS b FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src IN (SELECT id FROM own) AND dst IN (SELECT id FROM own)),
+    trail AS (SELECT [a, b] AS path FROM links UNION ALL SELECT list_append(path, b) FROM trail JOIN links ON a = path[-1] AND b <> path[-2]),
+    inner_ids AS (SELECT unnest(path[2:-2]) AS id FROM trail WHERE len(path) > 2),
+    between AS (SELECT id, label, type, count(*)::DOUBLE AS score FROM inner_ids JOIN own USING (id) GROUP BY ALL)"""
+
+
+def _hierarchy(spark: SparkSession, d: str, *kinds: str) -> Graph:
+    g = P.commerce(spark, d)
+    nodes = g.nodes.where(F.col("type").isin(*kinds))
+    return Graph(nodes, inside(g.edges, nodes.select("id")))
+
+
+@query(_forest_sql("'package', 'file', 'interface', 'struct'") + " => SELECT * FROM between", recursive=True)
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return C.betweenness(P.commerce(spark, d), pivots=16)
+    return C.betweenness(_hierarchy(spark, d, "package", "file", "interface", "struct"), exclude_edges=(), exclude_nodes=())
+
+
+@query(_forest_sql("'package', 'file', 'interface'") + " => SELECT * FROM between", recursive=True)
+def betweenness_small(spark: SparkSession, d: str) -> DataFrame:
+    return C.betweenness(_hierarchy(spark, d, "package", "file", "interface"), exclude_edges=(), exclude_nodes=())
 
 
 @query()
@@ -183,9 +210,18 @@ def betweenness_rank(spark: SparkSession, d: str) -> DataFrame:
     return C.ranked(C.betweenness(P.events(spark, d), exclude_edges=(), exclude_nodes=()))
 
 
-@query()
+def _hits_sql(rounds: int) -> str:
+    out = ["link AS (SELECT DISTINCT src, dst FROM edges)", "h0 AS MATERIALIZED (SELECT DISTINCT src AS id, 1.0::DOUBLE AS x FROM link)"]
+    for r in range(rounds):
+        out.append(f"a{r} AS MATERIALIZED (SELECT id, x / sqrt(sum(x * x) OVER ()) AS x FROM (SELECT dst AS id, sum(x) AS x FROM link JOIN h{r} ON id = src GROUP BY dst))")
+        out.append(f"h{r + 1} AS MATERIALIZED (SELECT id, x / sqrt(sum(x * x) OVER ()) AS x FROM (SELECT src AS id, sum(x) AS x FROM link JOIN a{r} ON id = dst GROUP BY src))")
+    select = f"SELECT coalesce(h.id, a.id) AS id, round(coalesce(h.x, 0), 6) AS hub, round(coalesce(a.x, 0), 6) AS authority FROM h{rounds} h FULL JOIN a{rounds - 1} a ON a.id = h.id"
+    return ", ".join(out) + " => " + select
+
+
+@query(_hits_sql(24), graph="events")
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    return C.hits(P.commerce_edges(spark, d), rounds=5)
+    return C.hits(P.events(spark, d).edges).select("id", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
 
 
 SURPRISE = """s AS (
@@ -265,7 +301,15 @@ def questions_cohesion(spark: SparkSession, d: str) -> DataFrame:
     return I.question_cohesion(P.commerce(spark, d), P.commerce_communities(spark, d))
 
 
-@query()
+_EVERY = " UNION ALL ".join(f"SELECT kind, subject, n, question FROM ({SQL[q]})" for q in ("questions_ambiguous", "questions_bridges", "questions_isolated", "questions_cohesion"))
+
+
+@query(
+    f"""every AS ({_EVERY} UNION ALL (SELECT kind, subject, n, question FROM ({SQL["questions_inferred"]}) ORDER BY n DESC, subject LIMIT 10))
+    => SELECT kind, subject, n, question FROM every
+    ORDER BY list_position(['ambiguous_edges', 'bridge_nodes', 'verify_inferred', 'isolated_nodes', 'low_cohesion'], kind), n DESC, subject LIMIT 10""",
+    graph="",
+)
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return I.questions(P.commerce(spark, d), P.commerce_communities(spark, d), top=10)
 
@@ -279,10 +323,18 @@ def explain_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return I.explain_neighbors(P.commerce(spark, d), "part:5")
 
 
-@query()
+@query(
+    _forest_sql("'package', 'file', 'interface'")
+    + """, inner_edges AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM own) AND dst IN (SELECT id FROM own)),
+    d AS (SELECT id, count(*) AS degree, count(*) FILTER (inward) AS in_degree, count(*) FILTER (NOT inward) AS out_degree FROM (SELECT src AS id, false AS inward FROM inner_edges UNION ALL SELECT dst, true FROM inner_edges) GROUP BY id)
+    => SELECT id, o.label, o.type, in_degree, out_degree, degree, degree >= (SELECT quantile_disc(degree, 0.9) FROM d) AS is_hub, c.community_id, (SELECT count(*) FROM communities x WHERE x.community_id = c.community_id) AS community_size,
+      b.score, (SELECT count(*) + 1 FROM between x WHERE x.score > b.score OR x.score = b.score AND x.id < b.id) AS rank
+    FROM own o JOIN d USING (id) JOIN communities c ON c.node_id = id JOIN between b USING (id) WHERE id = 'nation:3'""",
+    recursive=True,
+)
 def explain(spark: SparkSession, d: str) -> DataFrame:
-    g = P.commerce(spark, d)
-    return I.explain(g, "part:5", P.commerce_communities(spark, d), C.betweenness(g, pivots=4))
+    g = _hierarchy(spark, d, "package", "file", "interface")
+    return I.explain(g, "nation:3", P.commerce_communities(spark, d), C.betweenness(g, exclude_edges=(), exclude_nodes=()))
 
 
 @query(DEGREES + " => SELECT id, label, type, in_degree, out_degree, community_id FROM nodes JOIN deg USING (id) JOIN communities ON node_id = id WHERE id = 'supplier:3'")
@@ -399,7 +451,18 @@ def anti_dead_code(spark: SparkSession, d: str) -> DataFrame:
     return D.dead_code(P.code(spark, d))
 
 
-@query()
+def _n(name: str, most: int | None = None) -> str:
+    count = f"(SELECT count(*) FROM ({SQL[name]}))"
+    return count if most is None else f"least({most}, {count})"
+
+
+@query(
+    f"""cost AS (SELECT severity FROM ({SQL["anti_god_object"]}) UNION ALL SELECT 'high' FROM range({_n("anti_circular", 10)}) UNION ALL SELECT 'low' FROM range({_n("anti_dead_code", 20)}))
+    => SELECT {_n("pat_factory", 15)} + {_n("pat_singleton")} + {_n("pat_handler", 20)} + {_n("pat_repository")} + {_n("pat_builder")} + {_n("pat_hubs_top")} + {_n("pat_clusters")}
+      + (SELECT count(DISTINCT layer) FROM ({SQL["pat_layers"]})) AS patterns, count(*) AS anti_patterns,
+      greatest(0, 100 - coalesce(sum(CASE severity WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 2 END), 0))::DOUBLE AS health_score FROM cost""",
+    graph="",
+)
 def health_score(spark: SparkSession, d: str) -> DataFrame:
     return D.health(P.code(spark, d))
 
@@ -446,12 +509,19 @@ def reuse_shared_deps(spark: SparkSession, d: str) -> DataFrame:
     return _shown(R.shared_dependencies(P.events(spark, d).edges, top=None)).withColumn("deps", F.array_join("deps", ","))
 
 
-@query()
+CANDIDATES = f"""{SIGNATURES}, {DUPLICATES}, {SHARED},
+  sim_top AS (SELECT * FROM sim ORDER BY n DESC, pattern LIMIT 20), dup_top AS (SELECT * FROM dup ORDER BY n DESC, name LIMIT 20), shared_top AS (SELECT * FROM shared ORDER BY n_deps DESC, string_split(deps, ',') LIMIT 10),
+  candidate AS (
+    SELECT 'extract_interface' AS kind, pattern AS subject, nodes, 'medium' AS priority FROM sim_top WHERE n >= 4 UNION ALL SELECT 'consolidate', name, nodes, 'low' FROM dup_top WHERE np >= 3
+    UNION ALL SELECT 'extract_service', replace(deps, ',', '|'), nodes, 'high' FROM shared_top WHERE n_deps >= 5 AND len(string_split(nodes, ',')) >= 3)"""
+
+
+@query(CANDIDATES + " => SELECT * FROM candidate", graph="code")
 def reuse_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _shown(R.refactor_candidates(P.code(spark, d)))
 
 
-@query()
+@query(CANDIDATES + " => SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM sim_top) AS similar_groups, (SELECT count(*) FROM dup_top) AS duplicate_groups, (SELECT count(*) FROM candidate) AS candidates", graph="code")
 def reuse_summary(spark: SparkSession, d: str) -> DataFrame:
     return R.reuse_summary(P.code(spark, d))
 
