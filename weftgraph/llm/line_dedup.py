@@ -33,10 +33,15 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Between any two lines; nothing is consumed, so that the lines of a text make up the text.
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
+_MARK = "\x01"
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(text, LINE_END)
+    """The lines of a text. Plain replacements mark their ends, many times faster than the expression, unless the text has such marks itself."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, LINE_END)).otherwise(F.split(marked, _MARK))
 
 
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -78,12 +83,12 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, text, removed_lines): every document with its remaining lines."""
     gone = covered_lines(docs, id_col, text_col, window).select(F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag"), "covered")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tag"))
+    # Lines travel as an array: within the transform below an expression would be evaluated anew for each line.
+    base = docs.select(F.col(id_col).alias("doc_id"), lines_of(F.col(text_col)).alias("ls"), F.xxhash64(F.col(text_col)).alias("tag"))
     joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tag") == F.col("g_tag")), "left")
-    lines = lines_of(F.col("text"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "covered"), lambda i: F.get(lines, i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "covered"), lambda i: F.get("ls", i))
     return joined.select(
         "doc_id",
-        F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("text"),
+        F.array_join(F.when(F.col("covered").isNull(), F.col("ls")).otherwise(kept), "").alias("text"),
         F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("removed_lines"),
     )
