@@ -174,4 +174,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col(f"{own}doc_id")) & F.col(source_col).eqNullSafe(F.col(f"{own}source"))
     same &= F.xxhash64(F.col(text_col)) == F.col(f"{own}tag")
     copies = F.explode(F.sequence(F.lit(1), F.col(f"{own}copies").cast("int")))
-    return docs.join(chosen, same).select(*(quoted(c) for c in docs.columns), copies.alias(f"{own}copy")).drop(f"{own}copy")
+    return docs.join(chosen.hint("merge"), same).select(*(quoted(c) for c in docs.columns), copies.alias(f"{own}copy")).drop(f"{own}copy")

@@ -23,7 +23,7 @@ bucket that share such a shingle and whose sizes allow it are compared. The orde
 table of ``SLOTS`` counters, which may mix up shingles but is one order for all.
 
 A comparison is the full overlap of the two multisets: sum of minima over sum of
-maxima, at least THRESHOLD. A text's multiset is computed once a round and sent to the nodes that it is compared
+maxima, at least THRESHOLD. The texts that are compared at all are moved once; a text's multiset is computed once a round and sent to the nodes that it is compared
 with; a node that more than ``SALT`` others are compared with is sent to several tasks.
 
 Groups are the connected components; the smallest doc_id stays (null ids last).
@@ -218,23 +218,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _texts_of(texts: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``rows`` (node, ...) with the text of each node. They are written first: the planner sends few of them to the texts, not all texts to them."""
-    at = nodes.select("node", F.col("doc_id").alias("n_id"), F.col("tag").alias("n_tag"))
-    rows = durable(rows.join(at, "node"))
-    return texts.join(rows, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("tag") == F.col("n_tag"))).select("text", *(c for c in rows.columns if c not in ("n_id", "n_tag")))
-
-
-def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, salt: int = SALT) -> DataFrame:
-    """Of distinct node pairs (a < b) those whose multisets overlap by THRESHOLD.
-
-    ``nodes`` has (node, doc_id, tag), one row for each node, and ``texts`` (doc_id, tag, text), which may repeat rows.
-    """
+def verify(pairs: DataFrame, held: DataFrame, salt: int = SALT) -> DataFrame:
+    """Of distinct node pairs (a < b) those whose multisets overlap by THRESHOLD; ``held`` has (node, text), one row for each node."""
     parts = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / F.lit(salt)).cast("int").alias("parts"))
     others = pairs.join(parts, F.col("a") == F.col("hub")).select(F.col("b").alias("node"), "hub", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     own = parts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     to = others.union(own).groupBy("node").agg(F.collect_list(F.struct("hub", "salt")).alias("to"))
-    sent = _texts_of(texts, to, nodes).mapInArrow(_send, "hub bigint, salt int, node bigint, blob binary").repartition("hub", "salt")
+    sent = held.join(to.hint("merge"), "node").mapInArrow(_send, "hub bigint, salt int, node bigint, blob binary").repartition("hub", "salt")
     return sent.sortWithinPartitions("hub", "salt", F.col("hub") != F.col("node")).mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
@@ -260,10 +250,10 @@ def prefixes(texts: pa.Array, order: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return doc[first], mix64(sh[first] + nth[first].astype(np.uint64) * GOLDEN), size[doc[first]]
 
 
-def sharing_rare(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def sharing_rare(rows: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs (a < b) of ``rows`` (node, label, buckets) of unlike labels that share a bucket and an occurrence of their prefixes."""
     spark = rows.sparkSession
-    found = durable(_texts_of(texts, rows, nodes).dropDuplicates(["node"]))
+    found = durable(held.join(rows.hint("merge"), "node"))
     order = np.zeros(SLOTS, np.int64)
     for r in found.select("text").mapInArrow(_slots, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # at most SLOTS rows
         order[r["slot"]] = r["n"]
@@ -292,19 +282,22 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "bands"))
     reps = signed.where("d1 is not null").groupBy("d1", "d2").agg(first.alias("f"))
     reps = durable(reps.select("d1", "d2", F.monotonically_increasing_id().alias("node"), "f.doc_id", "f.tag", "f.bands"))
-    nodes = reps.select("node", "doc_id", "tag")
     each = reps.select("node", F.explode("bands").alias("bucket"))
     shared = durable(each.groupBy(F.col("bucket").alias("s")).agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "hub"))
     buckets = durable(each.join(shared, F.col("bucket") == F.col("s")).select("bucket", "node", "hub"))
     tried = durable(buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    good = durable(verify(tried, nodes, texts))
+    # The texts of nodes that are compared with any other move once; all rounds read them from there.
+    at = reps.select("node", F.col("doc_id").alias("n_id"), F.col("tag").alias("n_tag")).join(buckets.select("node").distinct(), "node", "left_semi")
+    of_node = texts.join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("tag") == F.col("n_tag"))).select("node", "text")
+    held = durable(of_node.dropDuplicates(["node"]))
+    good = durable(verify(tried, held))
     label = durable(star_components(good))
     placed = buckets.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     open_ = durable(placed.groupBy(F.col("bucket").alias("s")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s"))
     unlike = durable(placed.join(open_, F.col("bucket") == F.col("s")).groupBy("node", "label").agg(F.collect_list("bucket").alias("buckets")))
-    rest = durable(sharing_rare(unlike, nodes, texts).join(tried, ["a", "b"], "left_anti"))
+    rest = durable(sharing_rare(unlike, held).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        label = durable(star_components(good.union(verify(rest, nodes, texts))))
+        label = durable(star_components(good.union(verify(rest, held))))
     named = reps.select("d1", "d2", "node").join(label, "node", "left").select(F.col("d1").alias("n1"), F.col("d2").alias("n2"), F.coalesce("label", "node").alias("group"))
     return durable(signed.select("doc_id", "tag", "d1", "d2").join(named, (F.col("d1") == F.col("n1")) & (F.col("d2") == F.col("n2")), "left").select("doc_id", "tag", "group"))
 
