@@ -83,12 +83,13 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, text, removed_lines): every document with its remaining lines."""
     gone = covered_lines(docs, id_col, text_col, window).select(F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag"), "covered")
-    # Lines travel as an array: within the transform below an expression would be evaluated anew for each line.
-    base = docs.select(F.col(id_col).alias("doc_id"), lines_of(F.col(text_col)).alias("ls"), F.xxhash64(F.col(text_col)).alias("tag"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tag"))
     joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tag") == F.col("g_tag")), "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "covered"), lambda i: F.get("ls", i))
-    return joined.select(
-        "doc_id",
-        F.array_join(F.when(F.col("covered").isNull(), F.col("ls")).otherwise(kept), "").alias("text"),
-        F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("removed_lines"),
-    )
+
+    def remaining(ls: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "covered")
+        return F.array_join(F.transform(left, lambda i: F.get(ls, i)), "")
+
+    # As the argument of a function the lines are evaluated once, not anew for each line that is taken from them.
+    text = F.get(F.transform(F.array(lines_of(F.col("text"))), remaining), F.lit(0))
+    return joined.select("doc_id", F.when(F.col("covered").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("removed_lines"))
