@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,26 @@ from ..checkpoints import saved
 durable = saved
 
 
+def released(run: Callable) -> Callable:
+    """A function for ``mapInArrow`` or ``applyInArrow`` that gives memory back to the system when its task ends.
+
+    Workers are kept for later tasks of other steps; what their allocators hold on to would count against these.
+    """
+
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

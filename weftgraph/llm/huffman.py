@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, released
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenisation pattern that goes with the vocabulary (that of GPT-2, as published).
@@ -205,7 +205,7 @@ def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_
                 ids = [tokenise(enc, t.as_py()).astype(kind).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), "doc_id bigint, ids binary")
 
 
 def id_type(n_ids: int) -> str:
@@ -227,7 +227,7 @@ def id_counts(ids: DataFrame, n_ids: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["id", "n"])
 
     out = np.zeros(n_ids, np.int64)
-    for i, n in ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in ids.select("ids").mapInArrow(released(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n")).collect():
         out[i] = n
     return out
 
@@ -255,7 +255,7 @@ def huffman(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
                 yield from _slice(batch.column("doc_id").slice(start, stop - start), tokens[start:stop], lens, codes)
                 start = stop
 
-    blocks = ids.mapInArrow(run, SCHEMA)
+    blocks = ids.mapInArrow(released(run), SCHEMA)
     book = spark.createDataFrame([("codebook", None, -1, int(counts.sum()), None, None, lengths.tobytes())], SCHEMA)
     return blocks.union(book)
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shuffle_partitions
+from .common import durable, released, shuffle_partitions
 from .textvec import chunks, combine, mix64, words
 
 HELD_OUT = 10
@@ -122,18 +122,19 @@ class Block:
         c[self.order] = answer
         return c[self.n_words :], c[self.v], c[self.w]
 
-    def by_text(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, pair, own c(v, w), own c(v), own c(w)) of each distinct pair of each text, and which of them each prediction is."""
-        text = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.of_token))))
+    def by_text(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, pair, own c(v, w), own c(v), own c(w)) of each distinct pair of each text."""
         n_pairs, n_words = len(self.v), self.n_words
-        key, which, own = np.unique(text * n_pairs + self.of_token, return_inverse=True, return_counts=True)
+        key = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.of_token)))) * n_pairs
+        key += self.of_token
+        key, own = np.unique(key, return_counts=True)
         text, pair = key // n_pairs, key % n_pairs
         # a word is as often a context as it is a word, and each text has one start and one end
         of_word = text * n_words + self.w[pair]
         order = np.argsort(of_word, kind="stable")
         names, at = np.unique(of_word[order], return_index=True)
         sums = np.add.reduceat(own[order], at)
-        return text, pair, own, sums[np.searchsorted(names, text * n_words + self.v[pair])], sums[np.searchsorted(names, of_word)], which
+        return text, pair, own, sums[np.searchsorted(names, text * n_words + self.v[pair])], sums[np.searchsorted(names, of_word)]
 
 
 def _block(row: dict) -> Block:
@@ -256,11 +257,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    index = durable(base.where("text is not null").select("doc_id", "text", held.alias("held")).mapInArrow(_index(chunk), INDEX))
+    index = durable(base.where("text is not null").select("doc_id", "text", held.alias("held")).mapInArrow(released(_index(chunk)), INDEX))
     if shards is None:
         n_words = index.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda n, x: n + x))).first()[0] or 0
         shards = max(2 * shuffle_partitions(spark), -(-n_words // SHARD))
-    answers = durable(index.mapInArrow(_ask(shards), QUESTION).groupBy("shard").applyInArrow(_answer, ANSWER))
+    answers = durable(index.mapInArrow(released(_ask(shards)), QUESTION).groupBy("shard").applyInArrow(_answer, ANSWER))
     sums = answers.where("block is null").agg(F.sum("types"), F.sum("tokens"), F.sum("train_tokens")).first()
     types, tokens, train_tokens = (int(x or 0) for x in sums)
     replies = answers.where("block is not null").select("block", "shard", "held", "all_counts", "train_counts")
@@ -286,9 +287,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             b = _block(row)
             n = np.asarray(row["sizes"], np.int64) + 1
             c2, cv, cw = b.looked_up(_assembled(reply, "all_counts"))
-            text, pair, own2, own_v, own_w, which = b.by_text()
+            text, pair, own2, own_v, own_w = b.by_text()
             lp = log_probs(c2[pair] - own2, cv[pair] - own_v, cw[pair] - own_w, float(tokens) - n[text], types, weights)
-            total = np.add.reduceat(lp[which], b.first)
+            total = np.bincount(text, own2 * lp, len(n))
             out.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(n), "log_prob": pa.array(total), "perplexity": pa.array(np.exp(np.minimum(-total / n, 700)))}))
         return pa.concat_tables(out)
 
@@ -306,5 +307,5 @@ def _unscored(base: DataFrame) -> DataFrame:
 
     # Few texts have no letter or digit of any kind; only these reach Python.
     bare = base.where(F.col("text").isNull() | ~F.col("text").rlike(r"[a-zA-Z0-9]"))
-    none = bare.mapInArrow(run, "doc_id bigint")
+    none = bare.mapInArrow(released(run), "doc_id bigint")
     return none.select("doc_id", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("double").alias("log_prob"), F.lit(None).cast("double").alias("perplexity"))

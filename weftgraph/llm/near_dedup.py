@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.traversal import star_components
-from .common import durable, own_prefix
+from .common import durable, own_prefix, released
 from .textvec import chunks, combine, mix64, segment_ids, words
 
 SHINGLE = 3
@@ -224,8 +224,8 @@ def verify(pairs: DataFrame, held: DataFrame, salt: int = SALT) -> DataFrame:
     others = pairs.join(parts, F.col("a") == F.col("hub")).select(F.col("b").alias("node"), "hub", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     own = parts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     to = others.union(own).groupBy("node").agg(F.collect_list(F.struct("hub", "salt")).alias("to"))
-    sent = held.join(to.hint("merge"), "node").mapInArrow(_send, "hub bigint, salt int, node bigint, blob binary").repartition("hub", "salt")
-    return sent.sortWithinPartitions("hub", "salt", F.col("hub") != F.col("node")).mapInArrow(_compare, "a bigint, b bigint").distinct()
+    sent = held.join(to.hint("merge"), "node").mapInArrow(released(_send), "hub bigint, salt int, node bigint, blob binary").repartition("hub", "salt")
+    return sent.sortWithinPartitions("hub", "salt", F.col("hub") != F.col("node")).mapInArrow(released(_compare), "a bigint, b bigint").distinct()
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def sharing_rare(rows: DataFrame, held: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     found = durable(held.join(rows.hint("merge"), "node"))
     order = np.zeros(SLOTS, np.int64)
-    for r in found.select("text").mapInArrow(_slots, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # at most SLOTS rows
+    for r in found.select("text").mapInArrow(released(_slots), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # at most SLOTS rows
         order[r["slot"]] = r["n"]
     sent = spark.sparkContext.broadcast(order)  # eight megabytes
 
@@ -268,7 +268,7 @@ def sharing_rare(rows: DataFrame, held: DataFrame) -> DataFrame:
                     of_row = [part.column(c).take(row) for c in ("node", "label", "buckets")]
                     yield pa.RecordBatch.from_arrays([*of_row, pa.array(item[i : i + 50_000].view(np.int64)), pa.array(size[i : i + 50_000])], names=["node", "label", "buckets", "item", "size"])
 
-    x = found.mapInArrow(run, "node bigint, label bigint, buckets array<bigint>, item bigint, size bigint")
+    x = found.mapInArrow(released(run), "node bigint, label bigint, buckets array<bigint>, item bigint, size bigint")
     y = x.select(*(F.col(c).alias(f"y_{c}") for c in x.columns))
     alike = (F.least("size", "y_size") >= THRESHOLD * F.greatest("size", "y_size")) & F.arrays_overlap("buckets", "y_buckets")
     pairs = x.join(y, (F.col("item") == F.col("y_item")) & (F.col("node") < F.col("y_node")) & (F.col("label") != F.col("y_label")) & alike)
@@ -278,7 +278,7 @@ def sharing_rare(rows: DataFrame, held: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, tag, group), one row for each document; group is null where a text has no shingles."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    signed = durable(texts.mapInArrow(_sign, "doc_id bigint, tag bigint, d1 bigint, d2 bigint, bands array<bigint>"))
+    signed = durable(texts.mapInArrow(released(_sign), "doc_id bigint, tag bigint, d1 bigint, d2 bigint, bands array<bigint>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "bands"))
     reps = signed.where("d1 is not null").groupBy("d1", "d2").agg(first.alias("f"))
     reps = durable(reps.select("d1", "d2", F.monotonically_increasing_id().alias("node"), "f.doc_id", "f.tag", "f.bands"))

@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .huffman import VOCABULARY, encoder, id_type, load_ranks, tokenise
 
 WINDOW = 2048
@@ -105,7 +106,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, id
         if out:
             yield full()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), SCHEMA)
 
 
 def pack_report(packed: DataFrame, window: int = WINDOW) -> DataFrame:

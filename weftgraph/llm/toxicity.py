@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, released
 from .textvec import chunks
 
 TERMS = ("idiot", "moron", "loser", "clown", "scum", "trash", "stupid", "pathetic", "worthless", "disgusting")
@@ -408,7 +408,7 @@ def _fit(docs: DataFrame, labels: DataFrame, max_labelled: int, terms: tuple[str
             rows = [(x["lang"], x["toxic"], x["key"], len(_stems(x["text"])) if x["toxic"] == 1 else 0, _sketch(x["text"]).tobytes()) for x in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "toxic", "key", "tried", "sketch"), r)) for r in rows], schema=SKETCHES)
 
-    rows = sample.mapInArrow(sketched, "lang string, toxic int, key bigint, tried int, sketch binary").collect()  # at most max_labelled rows of 300 bytes
+    rows = sample.mapInArrow(released(sketched), "lang string, toxic int, key bigint, tried int, sketch binary").collect()  # at most max_labelled rows of 300 bytes
     group = near_copies({r["key"]: np.frombuffer(r["sketch"], np.int64) for r in rows})
     size = Counter((lang, toxic) for lang, toxic, _ in {(r["lang"], int(r["toxic"] == 1), group[r["key"]]) for r in rows})
     needed = 2 * math.log(max(2, sum(r["tried"] for r in rows)))
@@ -432,7 +432,7 @@ def _fit(docs: DataFrame, labels: DataFrame, max_labelled: int, terms: tuple[str
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTS)], schema=COUNTS)
 
         of = sample.where("toxic = 1" if toxic else "toxic <> 1").select("text", "lang", "key")
-        each = of.mapInArrow(run, "stem string, lang string, copies bigint, n int").groupBy("stem", "lang", "copies").agg(F.max("n").alias("n"))
+        each = of.mapInArrow(released(run), "stem string, lang string, copies bigint, n int").groupBy("stem", "lang", "copies").agg(F.max("n").alias("n"))
         return each.groupBy("stem", "lang").agg(*(F.count_if(F.col("n") >= k).alias(f"n{k}") for k in range(1, MOST_OCCURRENCES + 1)))
 
     enough = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
@@ -479,7 +479,7 @@ def _fit(docs: DataFrame, labels: DataFrame, max_labelled: int, terms: tuple[str
                 columns = zip(*out) if out else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTS)], schema=COUNTS)
 
-        each = sample.where("toxic <> 1").select("text", "key").mapInArrow(edited, "stem string, lang string, copies bigint, n int").groupBy("stem", "copies").agg(F.max("n").alias("n"))
+        each = sample.where("toxic <> 1").select("text", "key").mapInArrow(released(edited), "stem string, lang string, copies bigint, n int").groupBy("stem", "copies").agg(F.max("n").alias("n"))
         needs = F.create_map(*(F.lit(x) for pair in chosen.items() for x in pair))
         near = dict(each.where(F.col("n") >= needs[F.col("stem")]).groupBy("stem").count().collect())
         exact |= {s for s, n in near.items() if n > CLEAN_SHARE[chosen[s] - 1] * good[s][1]}
@@ -527,7 +527,7 @@ def toxicity(docs: DataFrame, labels: DataFrame | None = None, stems: Stems | No
                 arrays = [part.column("doc_id"), pa.array([len(x) for x in hits], pa.int32()), pa.array(score, pa.float64()), pa.array([s >= THRESHOLD for s in score], pa.bool_()), pa.array(names, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "hits", "score", "toxic", "terms"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), SCHEMA)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, stems: Stems | None = None, terms: tuple[str, ...] = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -545,4 +545,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, stems: Stems |
                 yield part.filter(pa.array(clean, pa.bool_()))
 
     plain = docs.toDF(*names)  # mapInArrow can't take every name that a column may have
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(released(run), plain.schema).toDF(*docs.columns)
