@@ -69,6 +69,23 @@ def test_betweenness_against_brute_force(spark, seed):
     assert {r["id"]: r["score"] for r in C.betweenness(g, pivots=99).collect()} == pytest.approx(got)
 
 
+def test_betweenness_folds_trees_and_equal_nodes(spark):
+    """Trees on a core with nodes of equal neighbours, a forest, a pair; sources are only what is left of them."""
+    rng = random.Random(5)
+    hubs, users = ["a", "b", "c"], [f"u{i:02}" for i in range(12)]
+    pairs = [("a", "b"), ("b", "c")] + [(u, h) for i, u in enumerate(users) for h in hubs if i % 7 + 1 & 1 << hubs.index(h)]
+    hung = [(f"t{i}", rng.choice(users + hubs + [f"t{j}" for j in range(i)])) for i in range(15)]
+    forest = [("x0", "x1"), ("x1", "x2"), ("x1", "x3"), ("x3", "x4"), ("y0", "y1")]
+    pairs += hung + forest
+    ids = sorted({x for p in pairs for x in p})
+    g = graph(spark, [(i, "function") for i in ids], [(a, b, "calls") for a, b in pairs])
+    assert {r["id"]: r["score"] for r in C.betweenness(g).collect()} == pytest.approx(brute_betweenness(ids, pairs))
+    links = spark.createDataFrame([x for a, b in forest for x in ((a, b), (b, a))], "tail string, head string")
+    assert C._fold(links)[2].count() == 0
+    same = spark.createDataFrame([x for i in range(200) for h in "pq" for x in ((f"u{i}", h), (h, f"u{i}"))], "tail string, head string")
+    assert C._twins(same, same.select("tail").distinct().selectExpr("tail AS v", "1D AS w"))[1].count() == 2
+
+
 def test_empty_and_edgeless_graphs(spark):
     none, bare = graph(spark, [], []), graph(spark, [("A", "function")], [])
     for g in (none, bare):
