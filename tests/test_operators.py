@@ -135,3 +135,20 @@ def test_counts_of_odd_graphs(spark):
     loop = graph(spark, [("a", "function")], [("a", "a", "calls")])
     assert rows(A.degrees(loop.edges)) == [("a", 1, 1, 2)] and rows(A.edge_type_breakdown(loop.edges, "a")) == [("calls", 2)]
     assert rows(A.isolated_nodes(graph(spark, [("x", "function"), ("p", "package")], []))) == [("x", "x", "function", 0)]
+
+
+def test_edges_joined_in_pieces(spark):
+    """Text that is joined piece by piece, equal edges and groups of several pieces included."""
+    edges = [(f"a{i * 7 % 50:02}", f"b{i % 3}", "calls" if i % 4 else "uses") for i in range(120)]
+    g = graph(spark, [], edges)
+    want = {t: ",".join(sorted(f"{a}|{b}" for a, b, k in edges if k == t)) for t in ("calls", "uses")}
+    assert dict(rows(A.edges_joined(g.edges, rows=9))) == want
+    assert A.edges_joined(g.edges.limit(0)).count() == 0
+
+
+def test_rows_are_spread_by_number(spark):
+    from weftgraph.sources.projections import spread
+
+    df = spark.range(1000).selectExpr("id", "id % 40 AS k")
+    assert spread(df, "k", rows=100).rdd.getNumPartitions() == 10 and spread(df.limit(0), "k").count() == 0
+    assert spread(df, "k", rows=100).selectExpr("k", "spark_partition_id() AS p").distinct().count() == 40
