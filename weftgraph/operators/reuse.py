@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions.scalars import is_common_name, normalize_signature
 from ..model import CODE_NODES, DEPENDENCY_EDGES, Graph, attr
 
@@ -31,8 +32,14 @@ def duplicate_names(nodes: DataFrame, top: int | None = 20) -> DataFrame:
 
 
 def shared_dependencies(edges: DataFrame, top: int | None = 10) -> DataFrame:
-    """(deps, n_deps, nodes): ids with the same three or more dependencies, repeated edges counting as often."""
-    of = edges.where(F.col("type").isin(*DEPENDENCY_EDGES)).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("deps")).where(F.size("deps") >= 3)
+    """(deps, n_deps, nodes): ids with the same three or more dependencies, repeated edges counting as often.
+
+    Lists are made only of ids whose dependencies have the number and the digest of another id's; the lists themselves decide.
+    """
+    own = saved(edges.where(F.col("type").isin(*DEPENDENCY_EDGES)).select("src", "dst"))
+    digest = saved(own.groupBy("src").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("dst")).alias("h")).where("k >= 3"))
+    alike = digest.join(digest.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"), ["k", "h"], "left_semi")
+    of = own.join(alike.select("src"), "src", "left_semi").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("deps")).where(F.size("deps") >= 3)
     groups = of.groupBy("deps").agg(F.array_sort(F.collect_list("src")).alias("nodes")).where(F.size("nodes") >= 2).select("deps", F.size("deps").alias("n_deps"), "nodes")
     return groups if top is None else groups.orderBy(F.desc("n_deps"), "deps").limit(top)
 
