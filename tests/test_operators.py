@@ -3,6 +3,7 @@ from graphs import graph, rows
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars as S
+from weftgraph.model import Graph
 from weftgraph.operators import aggregates as A
 from weftgraph.operators import filters as W
 from weftgraph.operators import insights as I
@@ -152,3 +153,26 @@ def test_rows_are_spread_by_number(spark):
     df = spark.range(1000).selectExpr("id", "id % 40 AS k")
     assert spread(df, "k", rows=100).rdd.getNumPartitions() == 10 and spread(df.limit(0), "k").count() == 0
     assert spread(df, "k", rows=100).selectExpr("k", "spark_partition_id() AS p").distinct().count() == 40
+
+
+def test_inputs_of_many_steps_are_computed_once(spark):
+    """Questions and health read the edges as a written table, however many parts of them do."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    g = graph(spark, [("a", "package"), ("b", "function"), ("c", "function")], [("a", "b", "calls", "AMBIGUOUS"), ("b", "c", "uses", "INFERRED", 0.5)])
+    watched = Graph(g.nodes, g.edges.mapInArrow(count, g.edges.schema))
+    communities = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "node_id string, community_id int")
+    assert I.questions(watched, communities).count() > 0 and seen.value == 2
+    assert D.health(watched).count() == 1 and seen.value == 4
+
+
+def test_shared_dependencies_with_equal_digests(spark):
+    """Repeated edges cancel in the digest: the lists must decide."""
+    edges = [("a", x, "calls") for x in ("p", "p", "q", "r")] + [("b", x, "calls") for x in ("s", "s", "q", "r")] + [("c", x, "uses") for x in ("p", "q", "p", "r")]
+    got = R.shared_dependencies(graph(spark, [], edges).edges).collect()
+    assert [(r["deps"], r["n_deps"], r["nodes"]) for r in got] == [(["p", "p", "q", "r"], 4, ["a", "c"])]
