@@ -4,7 +4,9 @@ from collections import deque
 
 import pytest
 from graphs import graph, rows
+from pyspark.sql import functions as F
 
+from weftgraph.checkpoints import saved_by
 from weftgraph.operators import centrality as C
 from weftgraph.operators import communities as K
 from weftgraph.operators import traversal as T
@@ -144,6 +146,28 @@ def test_louvain_finds_cliques(spark):
     assert all(value(found | {i: c}) <= value(found) for i in found for c in set(found.values()))  # no single move gains
 
 
+def test_louvain_round_against_brute_force(spark):
+    """Links stay in their buckets, only nodes whose turn it is are weighed, and they go where most is gained."""
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(70)}
+    w = {(a, b): float(rng.randint(1, 3)) for a, b in pairs}
+    w |= {(b, a): x for (a, b), x in w.items()}
+    c, k, total = {u: rng.randint(0, 6) for u, _ in w}, {}, sum(w.values())
+    for (u, _), x in w.items():
+        k[u] = k.get(u, 0.0) + x
+    near = saved_by(spark.createDataFrame([(u, v, x, u) for (u, v), x in w.items()], "u long, v long, w double, turn long"), "v", 3)
+    label = spark.createDataFrame([(u, c[u], k[u], u) for u in c], "u long, c long, k double, turn long")
+    plan = near.join(label.select(F.col("u").alias("v"), "c").hint("shuffle_hash"), "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not spark.sql("SHOW TABLES").where("tableName LIKE 'step_%'").count()
+    out, gained = K._moved(label, near, total, 1.0, 2, 1, 3)
+    want, most = dict(c), 0.0
+    for u in (u for u in c if (u + 1) % 2 == 0):
+        gain = {t: round(sum(x for (a, b), x in w.items() if a == u and c[b] == t) - k[u] * sum(k[v] for v in c if c[v] == t and v != u) / total, 9) for t in {c[b] for a, b in w if a == u} | {c[u]}}
+        want[u] = min(gain, key=lambda t: (-gain[t], t != c[u], t))
+        most += gain[want[u]] - gain[c[u]]
+    assert {r["u"]: r["c"] for r in out.collect()} == want != c and gained == pytest.approx(most)
+
+
 def test_hits(spark):
     g = graph(spark, [], [("a", "c", "calls"), ("b", "c", "calls"), ("b", "d", "calls")])
     got = {r["id"]: (r["hub"], r["authority"]) for r in C.hits(g.edges).collect()}
