@@ -155,6 +155,18 @@ def test_rows_are_spread_by_number(spark):
     assert spread(df, "k", rows=100).selectExpr("k", "spark_partition_id() AS p").distinct().count() == 40
 
 
+def test_edges_of_tables_that_grow_are_spread(spark, tmp_path, monkeypatch):
+    """Orders, customers and pairs of part and supplier, too: no task groups more than its part of them."""
+    from weftgraph.sources import projections as P
+
+    seen, own = [], P.spread
+    monkeypatch.setattr(P, "spread", lambda df, *keys, rows=250: seen.append(keys) or own(df, *keys, rows=rows))
+    e = P.commerce_edges(spark, "/root/testdata/sf0.001").where("type IN ('calls', 'references', 'uses')")
+    assert {("c_custkey",), ("o_orderkey",), ("l_partkey", "l_suppkey")} <= set(seen)
+    part = e.withColumn("p", F.spark_partition_id()).groupBy("p", "type").count()
+    assert 100 < part.agg({"count": "max"}).first()[0] < 400
+
+
 def test_inputs_of_many_steps_are_computed_once(spark):
     """Questions and health read the edges as a written table, however many parts of them do."""
     seen = spark.sparkContext.accumulator(0)
