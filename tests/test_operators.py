@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import scalars as S
 from weftgraph.model import Graph
 from weftgraph.operators import aggregates as A
+from weftgraph.operators import communities as K
 from weftgraph.operators import filters as W
 from weftgraph.operators import insights as I
 from weftgraph.operators import joins as J
@@ -167,6 +168,21 @@ def test_edges_of_tables_that_grow_are_spread(spark, tmp_path, monkeypatch):
     assert 100 < part.agg({"count": "max"}).first()[0] < 400
 
 
+def test_members_of_a_community_are_ranked_in_many_tasks(spark):
+    ids = [f"n{i:03}" for i in range(90)]
+    g = graph(spark, [(i, "function" if n % 3 else "struct") for n, i in enumerate(ids)], [(ids[n], ids[n * n % 50], "calls") for n in range(80)])
+    com = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "node_id string, community_id int")
+    every = K.community_members(g, com)
+    assert "Window" not in every._jdf.queryExecution().optimizedPlan().toString() and dict(every.dtypes)["rank"] == "int"
+    want, groups = [], {}
+    for c, t, i, d, _ in rows(every):
+        groups.setdefault((c, t), []).append((-d, i))
+    for (c, t), own in groups.items():
+        want += [(c, t, i, -d, n + 1) for n, (d, i) in enumerate(sorted(own))]
+    assert sorted(rows(every)) == sorted(want) and len(want) == 90
+    assert sorted(rows(K.community_members(g, com, 4))) == sorted(x for x in want if x[-1] <= 4)
+
+
 def test_inputs_of_many_steps_are_computed_once(spark):
     """Questions and health read the edges as a written table, however many parts of them do."""
     seen = spark.sparkContext.accumulator(0)
